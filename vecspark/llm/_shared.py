@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -95,8 +95,13 @@ def representatives(kd: DataFrame) -> DataFrame:
     return kd.groupBy("tk").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies"))
 
 
+def row_key(id_col: Column, tk: Column) -> Column:
+    """One key of (id, digest), null ids included."""
+    return F.unhex(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary"), tk)))
+
+
 def texts_of(kd: DataFrame, nodes: DataFrame) -> DataFrame:
     """(tk, text) of the representative rows in `nodes` (tk, rep_id), once each."""
-    n = nodes.select(F.col("tk").alias("n_tk"), F.col("rep_id").alias("n_rep"))
-    got = kd.join(n, (F.col("tk") == F.col("n_tk")) & F.col("id").eqNullSafe(F.col("n_rep")))
-    return got.groupBy("tk", "id").agg(F.first("text").alias("text")).select("tk", "text")
+    rows = kd.select(row_key(F.col("id"), F.col("tk")).alias("k"), "tk", "text")
+    got = rows.join(nodes.select(row_key(F.col("rep_id"), F.col("tk")).alias("k")), "k")
+    return got.dropDuplicates(["k"]).select("tk", "text")
