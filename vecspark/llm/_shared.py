@@ -38,11 +38,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder and read it back.
 
-    The files survive lost executors, unlike cached blocks.
+    The files survive lost executors, unlike cached blocks. The shuffles that led to
+    them are of no more use, and Spark deletes those files once the driver's garbage
+    is collected, which is asked for here.
     """
-    path = scratch(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vecspark_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of `saved` frames that nothing reads any more."""
+    for df in frames:
+        remove(df._vecspark_path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import arrow_map, keyed, raw, row_key, saved, texts_of
+from vecspark.llm._shared import arrow_map, keyed, raw, release, row_key, saved, texts_of
 from vecspark.llm._words import MIX, chunks, mix64, rolling, signed, within, word_hashes
 from vecspark.llm.components import components
 
@@ -116,7 +116,7 @@ def signed_bands(kd: DataFrame, p: NearParams) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, bands = raw(batch.column(1)), []
-        for a, b in chunks([len(t) for t in texts], 8_000_000):
+        for a, b in chunks([len(t) for t in texts], 2_000_000):
             docs, e, w = shingles(texts[a:b], p.words)
             sig = prob_minhash(docs, e, w, b - a, m).reshape(b - a, p.bands, p.rows)
             h = np.broadcast_to(np.arange(p.bands, dtype=np.uint64), (b - a, p.bands)).copy()
@@ -145,7 +145,7 @@ def buckets(reps: DataFrame, p: NearParams) -> DataFrame:
 
 
 def candidates(reps: DataFrame, p: NearParams) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's leaders and its neighbours."""
+    """Saved (a, b): each member of a bucket with the bucket's leaders and its neighbours."""
     all_ = buckets(reps, p)
     shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     members = saved(all_.join(shared, "bucket"), "buckets")
@@ -164,12 +164,14 @@ def candidates(reps: DataFrame, p: NearParams) -> DataFrame:
         near = small.select(F.col("tk").alias("a"), F.lag("tk", step).over(ring).alias("b")).filter("b IS NOT NULL")
         chain = near if chain is None else chain.unionByName(near)
     pairs = star if chain is None else star.unionByName(chain)
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    out = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
+    release(members)
+    return out
 
 
 def links(kd: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
-    """(a, b): pairs of different texts whose exact similarity reaches the threshold."""
-    pairs = saved(candidates(reps, p), "pairs")
+    """Saved (a, b): pairs of different texts whose exact similarity reaches the threshold."""
+    pairs = candidates(reps, p)
     nodes = pairs.select(F.col("a").alias("tk")).union(pairs.select(F.col("b").alias("tk"))).distinct()
     texts = saved(texts_of(kd, reps.join(nodes, "tk").select("tk", "rep_id")), "texts")
 
@@ -190,7 +192,9 @@ def links(kd: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
         return pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     ta, tb = texts.select(F.col("tk").alias("a"), F.col("text").alias("ta")), texts.select(F.col("tk").alias("b"), F.col("text").alias("tb"))
-    return arrow_map(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary")
+    out = saved(arrow_map(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary"), "near")
+    release(pairs, texts)
+    return out
 
 
 def text_classes(docs: DataFrame, p: NearParams, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -201,7 +205,7 @@ def text_classes(docs: DataFrame, p: NearParams, id_col: str = "doc_id", text_co
     kd = keyed(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     signed_ = signed_bands(kd, p)
     reps = saved(signed_.groupBy("tk").agg(F.min("id").alias("rep_id"), F.first("bands").alias("bands")), "signatures")
-    found = saved(links(kd, reps, p), "near")
+    found = links(kd, reps, p)
     labels = components(found)
     degree = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = labels.join(degree, "node").withColumnRenamed("node", "tk")

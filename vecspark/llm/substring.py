@@ -10,7 +10,9 @@ each 12 words.
    repeated as a whole, and one row stands for it in what follows.
 2. The recurring phrases are compiled into sharded Aho-Corasick automata, and every
    text with any of them is streamed through its shards' automata, which confirms the
-   phrases word by word and gives the place of every occurrence.
+   phrases word by word and gives the place of every occurrence. A phrase's shard is
+   that of the least text that holds it, so what copies of a text share lies in few
+   shards and a text visits few; a text with very many phrases has several.
 3. The windows whose selected phrase is confirmed are counted by a hash of all their
    35 words together with the phrase's; those at two places are repeated.
 4. The words that repeated windows cover are removed, in one pass over all documents.
@@ -36,7 +38,8 @@ import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import arrow_map, filesystem, keyed, raw, representatives, saved, scratch, texts_of
+from vecspark.llm._shared import arrow_map, filesystem, keyed, raw, release, representatives, saved, scratch, texts_of
+from vecspark.llm._shared import remove as remove_folder
 from vecspark.llm._words import chunks, rolling, signed, within, word_hashes
 
 WINDOW, PHRASE = 35, 12
@@ -79,7 +82,10 @@ def _flat(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def phrase_rows(kd: DataFrame) -> DataFrame:
-    """(phrase, tk, n): the selected phrases of each row's text, and their occurrences in it."""
+    """(phrase, tk, t, n): the selected phrases of each row's text, and their occurrences in it.
+
+    t is half of the text's digest, enough to tell two texts of a phrase apart.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out, seen = [], set()
@@ -102,25 +108,26 @@ def phrase_rows(kd: DataFrame) -> DataFrame:
         if not out:
             return None
         e, rows, n = (np.concatenate(x) for x in zip(*out))
-        return pa.record_batch([pa.array(e), batch.column(1).take(pa.array(rows)), pa.array(n)], names=["phrase", "tk", "n"])
+        t = np.array([int.from_bytes(k[:8], "little", signed=True) for k in tk], np.int64)
+        return pa.record_batch([pa.array(e), batch.column(1).take(pa.array(rows)), pa.array(t[rows]), pa.array(n)], names=["phrase", "tk", "t", "n"])
 
-    return arrow_map(kd.select("text", "tk"), run, "phrase long, tk binary, n int")
+    return arrow_map(kd.select("text", "tk"), run, "phrase long, tk binary, t long, n int")
 
 
 def phrase_texts(needed: DataFrame) -> DataFrame:
-    """(phrase, words): the recurring phrases of each text, spelled out."""
+    """(shard, words): the recurring phrases of each text, spelled out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got: dict[int, bytes] = {}
-        for words, want in zip(_texts(batch, 0), batch.column(1).to_pylist()):
+        got: dict[tuple[int, int], bytes] = {}
+        for words, pairs in zip(_texts(batch, 0), batch.column(1).to_pylist()):
             _, h, at = selected(words)
-            e = signed(h)
-            at = np.unique(at)
-            for i in at[np.isin(e[at], np.array(want, np.int64))]:
-                got[int(e[i])] = b" ".join(words[i : i + PHRASE])
-        return pa.record_batch([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["phrase", "words"])
+            e, shard = signed(h), {p["phrase"]: p["shard"] for p in pairs}
+            for i in np.unique(at).tolist():
+                if (key := int(e[i])) in shard:
+                    got[shard[key], key] = b" ".join(words[i : i + PHRASE])
+        return pa.record_batch([pa.array([s for s, _ in got], pa.int32()), pa.array(list(got.values()), pa.binary())], names=["shard", "words"])
 
-    return arrow_map(needed.select("text", "phrases"), run, "phrase long, words binary")
+    return arrow_map(needed.select("text", "phrases"), run, "shard int, words binary")
 
 
 class Automata:
@@ -157,8 +164,7 @@ def occurrences(needed: DataFrame, folder: str, shards: int) -> DataFrame:
                 out.append((np.searchsorted(ends, found) - PHRASE + 1).tolist())
             yield pa.record_batch([batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["tk", "places"])
 
-    shard = F.explode(F.array_distinct(F.transform("phrases", lambda x: F.pmod(x, F.lit(shards)).cast("int"))))
-    rows = needed.select("tk", "text", shard.alias("shard"))
+    rows = needed.select("tk", "text", F.explode(F.array_distinct("phrases.shard")).alias("shard"))
     # Texts of a shard go to many tasks: a phrase of very many texts is no hot key.
     spread = rows.repartition("shard", F.pmod(F.xxhash64("tk"), F.lit(64))) if shards > 1 else rows.repartition(F.col("tk"))
     return spread.sortWithinPartitions("shard").select("shard", "tk", "text").mapInArrow(run, "tk binary, places array<int>")
@@ -187,27 +193,37 @@ def window_rows(texts: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and (tk, copies, places): where repeated windows start in each text that has any."""
+    """The keyed documents, and saved (tk, copies, places): where repeated windows start in each text that has any."""
     spark = docs.sparkSession
     kd = keyed(docs, id_col, text_col)
     reps = saved(representatives(kd), "texts")
     phrases = saved(phrase_rows(kd), "phrases")
-    counts = phrases.groupBy("phrase").agg(F.min("tk").alias("a"), F.max("tk").alias("b"), F.max("n").alias("n"))
-    recurring = counts.filter("a <> b OR n > 1").select("phrase")
-    of_text = phrases.select("phrase", "tk").join(recurring, "phrase").groupBy("tk").agg(F.collect_set("phrase").alias("phrases"))
-    of_text = saved(of_text, "recurring")
+    counts = phrases.groupBy("phrase").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("n").alias("n"))
+    recurring = saved(counts.filter("a <> b OR n > 1").select("phrase", "a"), "recurring")
+    total = recurring.count()
+    shards = max(1, -(-2 * total // SHARD_PHRASES))
+    # A text that stands first for very many phrases has so many shards that each holds few of them.
+    split = F.ceil(F.col("k") * 4 / SHARD_PHRASES)
+    shard = F.pmod(F.xxhash64("a", F.pmod("phrase", split)), F.lit(shards)).cast("int")
+    of_phrase = recurring.join(recurring.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a").select("phrase", shard.alias("shard"))
+    of_text = phrases.select("phrase", "tk").join(of_phrase, "phrase").groupBy("tk").agg(F.collect_set(F.struct("phrase", "shard")).alias("phrases"))
+    of_text = saved(of_text, "phrases-of")
+    release(phrases, recurring)
     texts = texts_of(kd, reps.join(of_text.select("tk"), "tk").select("tk", "rep_id"))
     needed = saved(texts.join(of_text, "tk"), "needed")
-    spelled = saved(phrase_texts(needed).distinct(), "spelled")
-    shards = max(1, -(-spelled.count() // SHARD_PHRASES))
+    release(of_text)
     folder = scratch(spark, "shards")
-    spelled.withColumn("shard", F.pmod("phrase", F.lit(shards)).cast("int")).repartition(min(shards, 2000), "shard").write.partitionBy("shard").parquet(folder)
+    phrase_texts(needed).distinct().repartition(min(shards, 2000), "shard").write.partitionBy("shard").parquet(folder)
     places = occurrences(needed, folder, shards).groupBy("tk").agg(F.flatten(F.collect_list("places")).alias("places"))
     windows = saved(window_rows(needed.select("tk", "text").join(places, "tk")), "windows")
+    release(needed)
+    remove_folder(folder)
     twice = windows.groupBy("phrase", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("phrase", "window")
     marks = windows.join(twice, ["phrase", "window"]).groupBy("tk").agg(F.collect_list("place").alias("places"))
     copies = reps.filter("copies > 1").select("tk", "copies")
-    return kd, marks.join(copies, "tk", "full").select("tk", "copies", "places")
+    marks = saved(marks.join(copies, "tk", "full").select("tk", "copies", "places"), "marks")
+    release(windows, reps)
+    return kd, marks
 
 
 def kept_words(words: list[bytes], copied: bool, places: list[int] | None) -> list[bytes]:
@@ -227,7 +243,6 @@ def kept_words(words: list[bytes], copied: bool, places: list[int] | None) -> li
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT columns and `kept` (the kept words, joined by blanks) of each document."""
     kd, marks = repeated(docs, id_col, text_col)
-    marks = saved(marks, "marks")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, n = [], []
