@@ -45,6 +45,8 @@ from vecspark.llm._words import chunks, rolling, signed, within, word_hashes
 WINDOW, PHRASE = 35, 12
 #: Phrases of one automaton; some 25 MB of nodes for each 10,000.
 SHARD_PHRASES = 20_000
+#: Texts that one task streams through a shard's automaton, about.
+TASK_TEXTS = 2_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -164,9 +166,10 @@ def occurrences(needed: DataFrame, folder: str, shards: int) -> DataFrame:
                 out.append((np.searchsorted(ends, found) - PHRASE + 1).tolist())
             yield pa.record_batch([batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["tk", "places"])
 
-    rows = needed.select("tk", "text", F.explode(F.array_distinct("phrases.shard")).alias("shard"))
-    # Texts of a shard go to many tasks: a phrase of very many texts is no hot key.
-    spread = rows.repartition("shard", F.pmod(F.xxhash64("tk"), F.lit(64))) if shards > 1 else rows.repartition(F.col("tk"))
+    at = F.explode(F.array_distinct(F.transform("phrases", lambda x: F.struct(x["shard"].alias("shard"), x["tasks"].alias("tasks"))))).alias("at")
+    rows = needed.select("tk", "text", at).select("tk", "text", "at.shard", F.pmod(F.xxhash64("tk"), F.col("at.tasks")).alias("task"))
+    # The texts of a shard go to one task, those of a phrase of very many texts to many.
+    spread = rows.repartition("shard", "task")
     return spread.sortWithinPartitions("shard").select("shard", "tk", "text").mapInArrow(run, "tk binary, places array<int>")
 
 
@@ -198,15 +201,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kd = keyed(docs, id_col, text_col)
     reps = saved(representatives(kd), "texts")
     phrases = saved(phrase_rows(kd), "phrases")
-    counts = phrases.groupBy("phrase").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("n").alias("n"))
-    recurring = saved(counts.filter("a <> b OR n > 1").select("phrase", "a"), "recurring")
+    counts = phrases.groupBy("phrase").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    recurring = saved(counts.filter("a <> b OR n > 1").select("phrase", "a", "c"), "recurring")
     total = recurring.count()
     shards = max(1, -(-2 * total // SHARD_PHRASES))
     # A text that stands first for very many phrases has so many shards that each holds few of them.
     split = F.ceil(F.col("k") * 4 / SHARD_PHRASES)
     shard = F.pmod(F.xxhash64("a", F.pmod("phrase", split)), F.lit(shards)).cast("int")
-    of_phrase = recurring.join(recurring.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a").select("phrase", shard.alias("shard"))
-    of_text = phrases.select("phrase", "tk").join(of_phrase, "phrase").groupBy("tk").agg(F.collect_set(F.struct("phrase", "shard")).alias("phrases"))
+    first = recurring.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.ceil(F.max("c") / TASK_TEXTS).alias("tasks"))
+    of_phrase = recurring.join(first, "a").select("phrase", shard.alias("shard"), "tasks")
+    of_text = phrases.select("phrase", "tk").join(of_phrase, "phrase").groupBy("tk").agg(F.collect_set(F.struct("phrase", "shard", "tasks")).alias("phrases"))
     of_text = saved(of_text, "phrases-of")
     release(phrases, recurring)
     texts = texts_of(kd, reps.join(of_text.select("tk"), "tk").select("tk", "rep_id"))
@@ -219,10 +223,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     release(needed)
     remove_folder(folder)
     twice = windows.groupBy("phrase", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("phrase", "window")
+    twice = saved(twice, "twice")  # a plain table beside windows: Spark can split a hot window's join
     marks = windows.join(twice, ["phrase", "window"]).groupBy("tk").agg(F.collect_list("place").alias("places"))
     copies = reps.filter("copies > 1").select("tk", "copies")
     marks = saved(marks.join(copies, "tk", "full").select("tk", "copies", "places"), "marks")
-    release(windows, reps)
+    release(windows, twice, reps)
     return kd, marks
 
 
