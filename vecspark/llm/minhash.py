@@ -12,12 +12,13 @@ J_P = sum over common d of 1 / sum over e of max(a_e / a_d, b_e / b_d), which fo
 unweighted shingles is the Jaccard similarity.
 
 The registers are cut into bands; texts with an equal band share a bucket. A bucket
-never makes all its pairs: its members are paired with its `leaders`, the members
-that share most buckets with others (the text that others were copied from shares
-more with each of them than they do among themselves) and, for groups in which no one
-text is near to all, with the members next to them in a random order of the bucket's
-own. Every pair is then verified by its exact J_P, and classes are the connected
-components of the verified links.
+never makes all its pairs. Its members are first paired with its `leaders`, those that
+share most buckets with others: the text that others were copied from shares more with
+each of them than they do among themselves. The pairs are verified by their exact J_P.
+Where a bucket then still holds texts of two classes, members are also paired with
+their `neighbours` of another class in a random order of the bucket's own, and these
+are verified too; two texts share some ten buckets, each with another order. Classes
+are the connected components of the verified links.
 
 Defined cases: null text is empty; texts without words have no shingles and are
 linked by nothing, but equal ones are one class, as are all equal texts; repeated
@@ -144,57 +145,74 @@ def buckets(reps: DataFrame, p: NearParams) -> DataFrame:
     return arrow_map(reps.select("tk", "bands"), run, "bucket long, tk binary")
 
 
-def candidates(reps: DataFrame, p: NearParams) -> DataFrame:
-    """Saved (a, b): each member of a bucket with the bucket's leaders and its neighbours."""
+def members_of(reps: DataFrame, p: NearParams) -> DataFrame:
+    """(bucket, tk, k): the texts of each bucket of at least two, and how many they are."""
     all_ = buckets(reps, p)
     shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    members = saved(all_.join(shared, "bucket"), "buckets")
-    central = members.groupBy("tk").agg(F.sum("k").alias("c")).select("tk", "c")
-    ranked = members.join(central, "tk").select("bucket", "tk", "c", "k")
+    return all_.join(shared, "bucket")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def star(members: DataFrame, p: NearParams) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's leaders."""
+    central = members.groupBy("tk").agg(F.sum("k").alias("c"))
+    ranked = members.join(central, "tk").select("bucket", "tk", "c")
     order = Window.partitionBy("bucket").orderBy(F.desc("c"), "tk")
     leaders = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= p.leaders).select("bucket", F.col("tk").alias("b"), F.col("c").alias("cb"))
-    star = ranked.join(leaders, "bucket").filter("cb > c OR (cb = c AND b < tk)").select(F.col("tk").alias("a"), "b")
-    # Within slices of a bucket's random order: a slice of a hot bucket stays small.
+    return _ordered(ranked.join(leaders, "bucket").filter("cb > c OR (cb = c AND b < tk)").select(F.col("tk").alias("a"), "b"))
+
+
+def chain(members: DataFrame, labels: DataFrame, p: NearParams) -> DataFrame:
+    """(a, b): in buckets that still hold two classes, neighbours of different classes.
+
+    The order is a bucket's own and random, cut into slices, so that a hot bucket is
+    no hot task.
+    """
+    named = members.join(labels.select(F.col("node").alias("tk"), "label"), "tk", "left").select("bucket", "tk", "k", F.coalesce("label", "tk").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
     h = F.xxhash64("bucket", "tk")
-    piece = F.pmod(h, F.ceil(F.col("k") / 512))
-    ring = Window.partitionBy("bucket", "piece").orderBy("h", "tk")
-    small = members.withColumn("h", h).withColumn("piece", piece)
-    chain = None
+    sliced = named.join(mixed, "bucket").withColumn("h", h).withColumn("slice", F.pmod(h, F.ceil(F.col("k") / 512)))
+    ring = Window.partitionBy("bucket", "slice").orderBy("h", "tk")
+    pairs = None
     for step in range(1, p.neighbours + 1):
-        near = small.select(F.col("tk").alias("a"), F.lag("tk", step).over(ring).alias("b")).filter("b IS NOT NULL")
-        chain = near if chain is None else chain.unionByName(near)
-    pairs = star if chain is None else star.unionByName(chain)
-    out = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
-    release(members)
-    return out
+        near = sliced.select(F.col("tk").alias("a"), F.lag("tk", step).over(ring).alias("b"), "label", F.lag("label", step).over(ring).alias("other"))
+        near = near.filter("b IS NOT NULL AND label <> other").select("a", "b")
+        pairs = near if pairs is None else pairs.unionByName(near)
+    return _ordered(pairs)
 
 
-def links(kd: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
-    """Saved (a, b): pairs of different texts whose exact similarity reaches the threshold."""
-    pairs = candidates(reps, p)
-    nodes = pairs.select(F.col("a").alias("tk")).union(pairs.select(F.col("b").alias("tk"))).distinct()
-    texts = saved(texts_of(kd, reps.join(nodes, "tk").select("tk", "rep_id")), "texts")
+def verified(pairs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+    """Saved (a, b): the pairs whose exact similarity reaches the threshold."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        out = []
-        for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), raw(batch.column(3))):
-            for key, text in ((a, ta), (b, tb)):
-                if key not in known:
-                    if len(known) > 2000:
-                        known.clear()
-                    _, e, w = shingles([text], p.words)
-                    known[key] = (e, w)
-            pair = known.get(a), known.get(b)
-            if None in pair:  # one of them went with the clearing
-                pair = tuple(shingles([t], p.words)[1:] for t in (ta, tb))
-            out.append(similarity(*pair) >= p.similarity)
-        return pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+        def of(key: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+            if key not in known:
+                if len(known) >= 1000:
+                    known.clear()
+                known[key] = shingles([text], p.words)[1:]
+            return known[key]
+
+        columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), raw(batch.column(3))]
+        near = [similarity(of(a, ta), of(b, tb)) >= p.similarity for a, b, ta, tb in zip(*columns)]
+        return pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     ta, tb = texts.select(F.col("tk").alias("a"), F.col("text").alias("ta")), texts.select(F.col("tk").alias("b"), F.col("text").alias("tb"))
-    out = saved(arrow_map(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary"), "near")
-    release(pairs, texts)
-    return out
+    return saved(arrow_map(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary"), "near")
+
+
+def links(kd: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
+    """(a, b): verified links that connect each class."""
+    members = saved(members_of(reps, p), "buckets")
+    texts = saved(texts_of(kd, reps.join(members.select("tk").distinct(), "tk").select("tk", "rep_id")), "texts")
+    first = verified(star(members, p), texts, p)
+    second = verified(chain(members, components(first), p), texts, p)
+    release(members, texts)
+    return first.unionByName(second).distinct()
 
 
 def text_classes(docs: DataFrame, p: NearParams, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -205,7 +223,7 @@ def text_classes(docs: DataFrame, p: NearParams, id_col: str = "doc_id", text_co
     kd = keyed(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     signed_ = signed_bands(kd, p)
     reps = saved(signed_.groupBy("tk").agg(F.min("id").alias("rep_id"), F.first("bands").alias("bands")), "signatures")
-    found = links(kd, reps, p)
+    found = saved(links(kd, reps, p), "links")
     labels = components(found)
     degree = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = labels.join(degree, "node").withColumnRenamed("node", "tk")
