@@ -79,6 +79,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
+            del batch, out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

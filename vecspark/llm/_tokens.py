@@ -28,7 +28,7 @@ PATTERNS = {
 #: Other scripts, control characters, combining marks and special-token strings go whole.
 WHOLE = re.compile(r"[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]|<\|")
 #: Pieces remembered by one worker; on reaching it the memory starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Likewise for the characters remembered.
 REMEMBERED_CHARS = 40_000_000
 
