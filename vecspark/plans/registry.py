@@ -1,6 +1,803 @@
-"""All registered queries and their SQL."""
+"""All registered queries, each beside the DuckDB SQL of the same result.
+
+Inputs: vectors are `embeddings` (doc_id = vec_id), the hybrid corpus pairs documents
+and vectors of equal id, queries are the vectors of ids 0-9 or the first five
+benchmark texts. Measures are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecspark.functions import vectors
+from vecspark.operators import bm25, chunking, cluster, embedding, evaluation, fusion, hnsw, ivf, knn, pq, rag, retrieval, service, sharding
+from vecspark.sources import store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+PQ = pq.PqParams(64, 8, 4)
+SHARDS = 7
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+# Inputs
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def emb(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), vectors.doubles(F.col("embedding")).alias("vector"), "label")
+
+
+def asked(spark, d, n=10):
+    return emb(spark, d).filter(F.col("doc_id") < n).select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+
+
+def corpus(spark, d):
+    return docs(spark, d).join(emb(spark, d), "doc_id")
+
+
+def questions(spark, d, n=5):
+    b = table(spark, d, "benchmark").filter(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return b.join(asked(spark, d, n), "query_id")
+
+
+def centroids(spark, d):
+    return ivf.mean_centroids(emb(spark, d), "label")
+
+
+def index(spark, d):
+    return ivf.assign(emb(spark, d).select("doc_id", "vector"), centroids(spark, d))
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def hits6(df, *columns):
+    return df.withColumns({c: r6(F.col(c)) for c in columns})
+
+
+E = "e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+Q = "q AS (SELECT doc_id AS query_id, v AS qv FROM e WHERE doc_id < 10)"
+EQ = f"{E}, {Q}"
+COS, COS_EPS, L2, DOT = "1 - list_cosine_similarity(v, qv)", "1 - list_inner_product(v, qv) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(qv, qv)) + 1e-8)", "list_distance(v, qv)", "-list_inner_product(v, qv)"
+TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def top_sql(inner: str, by: str, order: str, k: int, columns: str) -> str:
+    return f"SELECT {columns} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS INT) AS rank FROM ({inner})) WHERE rank <= {k}"
+
+
+def knn_sql(expr: str, k: int = 10) -> str:
+    return f"WITH {EQ} " + top_sql(f"SELECT query_id, doc_id, {expr} AS d FROM e, q", "query_id", "d, doc_id", k, "query_id, doc_id, round(d, 6) + 0.0 AS distance, rank")
+
+
+# Vector functions and exact search
+
+for _metric, _sql in {"cosine": COS, "cosine_eps": COS_EPS, "cosine_batch": "1 - list_inner_product(v, qv) / ((sqrt(list_inner_product(v, v)) + 1e-8) * (sqrt(list_inner_product(qv, qv)) + 1e-8))", "l2": L2, "dot": DOT}.items():
+
+    def _distances(spark, d, m=_metric):
+        one = asked(spark, d, 1).withColumnRenamed("query_vector", "qv")
+        return emb(spark, d).crossJoin(F.broadcast(one)).select("doc_id", r6(vectors.distance(m)(F.col("qv"), F.col("vector"))).alias("distance"))
+
+    query(f"WITH {EQ} SELECT doc_id, round({_sql}, 6) + 0.0 AS distance FROM e, q WHERE query_id = 0", f"distance_{_metric}")(_distances)
+
+for _metric, _sql in {"cosine": COS, "l2": L2, "dot": DOT}.items():
+
+    def _exact(spark, d, m=_metric):
+        return hits6(knn.search(emb(spark, d), asked(spark, d), 10, m), "distance")
+
+    query(knn_sql(_sql), f"knn_exact_{_metric}")(_exact)
+
+
+@query(f"WITH {EQ} SELECT doc_id, round({L2}, 6) + 0.0 AS distance FROM e, q WHERE query_id = 3 ORDER BY {L2}, doc_id LIMIT 10")
+def knn_single(spark, d):
+    v = [float(x) for x in emb(spark, d).filter("doc_id = 3").first().vector]
+    return hits6(knn.search_one(emb(spark, d), F.lit(v), 10), "distance")
+
+
+@query(f"WITH {EQ} " + top_sql(f"SELECT query_id, doc_id, {L2} AS d FROM e, q WHERE doc_id <> query_id", "query_id", "d, doc_id", 5, "query_id, doc_id, round(d, 6) + 0.0 AS distance, rank"))
+def knn_batch(spark, d):
+    return hits6(knn.search(emb(spark, d), asked(spark, d), 5, "l2", exclude_self=True), "distance")
+
+
+@query(f"WITH {E} SELECT doc_id, unnest(range(0, 64))::INT AS pos, round(unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) + 0.0 AS x FROM e WHERE doc_id < 50")
+def vec_normalize(spark, d):
+    n = emb(spark, d).filter("doc_id < 50").select("doc_id", F.posexplode(vectors.normalize(F.col("vector"))).alias("pos", "x"))
+    return hits6(n, "x")
+
+
+@query(f"WITH {EQ} SELECT query_id, doc_id, round(1 / (1 + {L2}), 6) AS score FROM e, q WHERE query_id < 3")
+def similarity_score(spark, d):
+    q = F.broadcast(asked(spark, d, 3))
+    return emb(spark, d).crossJoin(q).select("query_id", "doc_id", r6(vectors.similarity(vectors.euclidean(F.col("query_vector"), F.col("vector")))).alias("score"))
+
+
+@query(f"WITH {E} SELECT doc_id, m::INT AS m, round(list_sum(v[m * 8 + 1:m * 8 + 8]), 6) + 0.0 AS total FROM e, range(0, 8) t(m)")
+def subvector(spark, d):
+    total = lambda i: F.aggregate(F.slice("vector", i * 8 + 1, F.lit(8)), F.lit(0.0), lambda a, x: a + x)
+    return emb(spark, d).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), total)).alias("m", "total")).withColumn("total", r6(F.col("total")))
+
+
+@query(f"WITH {E} SELECT count(*) AS n FROM e")
+def index_len(spark, d):
+    return emb(spark, d).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Inverted file
+
+CENT = "c AS (SELECT label AS cell_id, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM e) GROUP BY label, i) GROUP BY label)"
+CELL = "1 - list_inner_product(v, c) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(c, c)) + 1e-8)"
+INDEX = f"{E}, {CENT}, x AS (SELECT doc_id, v, arg_min(cell_id, d) AS cell_id FROM (SELECT doc_id, v, cell_id, {CELL} AS d FROM e, c) GROUP BY doc_id, v)"
+
+
+@query(f"WITH {INDEX} SELECT doc_id, cell_id FROM x")
+def ivf_assign(spark, d):
+    return index(spark, d).select("doc_id", "cell_id")
+
+
+@query(f"WITH {E}, {CENT} " + top_sql(f"SELECT doc_id AS query_id, cell_id, {CELL} AS d FROM e, c WHERE doc_id < 10", "query_id", "d, cell_id", 3, "query_id, cell_id, round(d, 6) + 0.0 AS cell_distance, rank"))
+def ivf_nearest_cells(spark, d):
+    return hits6(ivf.nearest_cells(asked(spark, d), centroids(spark, d), "query_id", "query_vector", 3), "cell_distance")
+
+
+PROBE = f"{INDEX}, {Q}, p AS (SELECT query_id, qv, cell_id FROM (SELECT query_id, qv, cell_id, row_number() OVER (PARTITION BY query_id ORDER BY d, cell_id) AS r FROM (SELECT query_id, qv, cell_id, {CELL.replace('v, ', 'qv, ').replace('v)', 'qv)')} AS d FROM q, c)) WHERE r <= 3)"
+
+
+@query(f"WITH {PROBE} " + top_sql(f"SELECT query_id, doc_id, {COS_EPS} AS d FROM x JOIN p USING (cell_id)", "query_id", "d, doc_id", 10, "query_id, doc_id, round(d, 6) + 0.0 AS distance, rank"))
+def ivf_search(spark, d):
+    return hits6(ivf.search(index(spark, d), centroids(spark, d), asked(spark, d), 10, 3), "distance")
+
+
+@query(f"WITH {INDEX}, s AS (SELECT cell_id, count(x.doc_id) AS n FROM c LEFT JOIN x USING (cell_id) GROUP BY cell_id) SELECT sum(n)::BIGINT AS total, count(*) AS n_clusters, avg(n) AS avg_size, max(n) AS max_size, min(n) AS min_size, count(*) FILTER (n = 0) AS empty FROM s")
+def ivf_stats(spark, d):
+    return ivf.stats(index(spark, d), centroids(spark, d))
+
+
+@query(f"WITH {INDEX} SELECT doc_id, cell_id FROM x WHERE doc_id % 3 <> 0")
+def ivf_delete(spark, d):
+    gone = emb(spark, d).filter("doc_id % 3 = 0").select("doc_id")
+    return ivf.delete(index(spark, d), gone).select("doc_id", "cell_id")
+
+
+@query(f"WITH {INDEX}, m AS (SELECT max(doc_id) + 1 AS n FROM x) SELECT doc_id, cell_id FROM x UNION ALL SELECT n + row_number() OVER (ORDER BY doc_id) - 1, cell_id FROM x, m WHERE doc_id % 2 = 1")
+def ivf_add_batch(spark, d):
+    new = emb(spark, d).filter("doc_id % 2 = 1").select(F.col("doc_id").alias("ord"), "vector")
+    return ivf.add_batch(index(spark, d), new, centroids(spark, d)).select("doc_id", "cell_id")
+
+
+@query()
+def ivf_train_kmeans(spark, d):
+    return ivf.train(emb(spark, d), ivf.IvfParams(n_clusters=10, n_init=2)).select("cell_id", F.size("centroid").alias("dim"))
+
+
+# Product quantization
+
+CODE = f"{E}, b AS (SELECT m, row_number() OVER (PARTITION BY m ORDER BY doc_id) - 1 AS code, v[m * 8 + 1:m * 8 + 8] AS c FROM e, range(0, 8) t(m) WHERE doc_id < 16), k AS (SELECT doc_id, m, min(code) AS code FROM (SELECT doc_id, m, code, d, min(d) OVER (PARTITION BY doc_id, m) AS best FROM (SELECT doc_id, m, code, list_distance(v[m * 8 + 1:m * 8 + 8], c) AS d FROM e, b)) WHERE d = best GROUP BY doc_id, m)"
+
+
+def codebook(spark, d):
+    return pq.codebook_from(emb(spark, d), PQ, 16)
+
+
+@query(f"WITH {CODE} SELECT doc_id, string_agg(code::VARCHAR, ',' ORDER BY m) AS codes FROM k GROUP BY doc_id")
+def pq_encode(spark, d):
+    return pq.encode(emb(spark, d), codebook(spark, d), PQ).select("doc_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
+@query(f"WITH {CODE} SELECT k.doc_id, (k.m * 8 + i)::INT AS pos, round(b.c[i + 1], 6) + 0.0 AS x FROM k JOIN b USING (m, code), range(0, 8) t(i) WHERE doc_id < 100")
+def pq_decode(spark, d):
+    codes = pq.encode(emb(spark, d).filter("doc_id < 100"), codebook(spark, d), PQ)
+    return hits6(pq.decode(codes, codebook(spark, d)).select("doc_id", F.posexplode("vector").alias("pos", "x")), "x")
+
+
+@query(f"WITH {CODE} SELECT doc_id AS query_id, m::INT AS m, code::INT AS code, round(list_distance(v[m * 8 + 1:m * 8 + 8], c), 6) + 0.0 AS distance FROM e, b WHERE doc_id < 10")
+def pq_distance_table(spark, d):
+    return hits6(pq.distance_table(asked(spark, d), codebook(spark, d), PQ), "distance")
+
+
+@query(f"WITH {CODE}, t AS (SELECT doc_id AS query_id, m, code, list_distance(v[m * 8 + 1:m * 8 + 8], c) AS d FROM e, b WHERE doc_id < 10) " + top_sql("SELECT query_id, doc_id, sqrt(sum(d * d ORDER BY m)) AS d FROM k JOIN t USING (m, code) GROUP BY query_id, doc_id", "query_id", "round(d, 9), doc_id", 10, "query_id, doc_id, round(d, 6) + 0.0 AS distance, rank"))
+def pq_adc_topk(spark, d):
+    codes = pq.encode(emb(spark, d), codebook(spark, d), PQ)
+    return hits6(pq.search(codes, asked(spark, d), codebook(spark, d), PQ, 10), "distance")
+
+
+@query("SELECT n * 256 / 1048576.0 AS original_mb, n * 4 / 1048576.0 AS compressed_mb, 4096 / 1048576.0 AS codebook_mb, (n * 4 + 4096) / 1048576.0 AS total_mb, round(n * 256 / (n * 4.0 + 4096), 6) AS compression_ratio FROM (SELECT count(*)::DOUBLE AS n FROM embeddings)")
+def pq_memory(spark, d):
+    return hits6(pq.memory(emb(spark, d), PQ), "compression_ratio")
+
+
+@query("SELECT 64.0::DOUBLE AS ratio")
+def pq_bit_ratio(spark, d):
+    return spark.range(1).select(F.lit(PQ.ratio).alias("ratio"))
+
+
+@query()
+def pq_train(spark, d):
+    return pq.train(emb(spark, d), pq.PqParams(64, 4, 3)).groupBy("m").agg(F.count(F.lit(1)).alias("codes"))
+
+
+# Graphs
+
+
+def graph(spark, d):
+    return hnsw.build(emb(spark, d).select("doc_id", "vector"), hnsw.HnswParams(ef_construction=64))
+
+
+@query()
+def hnsw_search(spark, d):
+    return hits6(hnsw.search(graph(spark, d), asked(spark, d), 10, 64), "distance")
+
+
+@query("SELECT true AS reached")
+def hnsw_recall(spark, d):
+    found = hnsw.search(graph(spark, d), asked(spark, d), 10, 100)
+    truth = knn.search(emb(spark, d), asked(spark, d), 10, "l2")
+    return evaluation.recall_at_k(found, truth, 10).agg((F.avg("recall") >= 0.95).alias("reached"))
+
+
+@query("SELECT vec_id AS doc_id FROM embeddings WHERE vec_id % 5 <> 0")
+def hnsw_delete(spark, d):
+    gone = emb(spark, d).filter("doc_id % 5 = 0").select("doc_id")
+    return hnsw.delete(graph(spark, d), gone).select("doc_id")
+
+
+# BM25
+
+T = f"t AS (SELECT doc_id, {TOK.format('text')} AS w FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t)"
+BQ = f"bq AS (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark WHERE item_id < 5)"
+SCORE = f"{T}, {BQ}, sc AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / avgdl))) AS score FROM bq JOIN p USING (term) JOIN f USING (term) JOIN t USING (doc_id), s GROUP BY ALL)"
+
+
+@query(f"WITH {T} SELECT doc_id, term, tf FROM p")
+def bm25_term_freq(spark, d):
+    return bm25.postings(docs(spark, d))
+
+
+@query(f"WITH {T} SELECT term, df FROM f")
+def bm25_doc_freq(spark, d):
+    return bm25.doc_freqs(docs(spark, d))
+
+
+@query(f"WITH {T} SELECT n AS num_docs, round(avgdl, 6) AS avg_doc_length FROM s")
+def bm25_corpus_stats(spark, d):
+    return hits6(bm25.corpus_stats(docs(spark, d)), "avg_doc_length")
+
+
+@query(f"WITH {T} SELECT doc_id, len(w)::BIGINT AS dl FROM t")
+def bm25_doc_length(spark, d):
+    return bm25.lengths(docs(spark, d))
+
+
+@query(f"WITH {SCORE} SELECT query_id, doc_id, round(score, 6) AS score FROM sc")
+def bm25_scores(spark, d):
+    return hits6(bm25.scores(docs(spark, d), questions(spark, d)), "score")
+
+
+@query(f"WITH {SCORE} " + top_sql("SELECT * FROM sc WHERE score > 0", "query_id", "round(score, 9) DESC, doc_id", 10, "query_id, doc_id, round(score, 6) AS score, rank"))
+def bm25_topk(spark, d):
+    return hits6(bm25.search(docs(spark, d), questions(spark, d), 10), "score")
+
+
+@query(f"WITH {SCORE}, top AS (" + top_sql("SELECT * FROM sc WHERE score > 0", "query_id", "round(score, 9) DESC, doc_id", 5, "query_id, doc_id, round(score, 6) AS score, rank") + ") SELECT top.*, text FROM top JOIN documents USING (doc_id)")
+def sparse_retrieve(spark, d):
+    return hits6(bm25.retrieve(docs(spark, d), questions(spark, d), 5), "score")
+
+
+@query(f"WITH {T.replace('FROM documents', 'FROM documents WHERE doc_id % 4 <> 0')} SELECT n AS num_docs, round(avgdl, 6) AS avg_doc_length, (SELECT count(*) FROM f) AS terms FROM s")
+def bm25_delete(spark, d):
+    left = bm25.delete(docs(spark, d), docs(spark, d).filter("doc_id % 4 = 0"))
+    return hits6(bm25.corpus_stats(left), "avg_doc_length").crossJoin(bm25.doc_freqs(left).agg(F.count(F.lit(1)).alias("terms")))
+
+
+# Fusion
+
+CORPUS = "documents JOIN (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings) USING (doc_id)"
+
+
+def legs(k: int) -> str:
+    """CTEs dense (query_id, doc_id, d, rank) and sparse (query_id, doc_id, s, rank) over the hybrid corpus."""
+    t = SCORE.replace("FROM documents", f"FROM {CORPUS}").replace("SELECT doc_id, regexp", "SELECT doc_id, v, text, regexp")
+    dense = top_sql("SELECT query_id, t.doc_id, 1 - list_cosine_similarity(t.v, qv) AS d FROM t, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 5)", "query_id", "d, doc_id", k, "query_id, doc_id, d, rank")
+    sparse = top_sql("SELECT * FROM sc WHERE score > 0", "query_id", "round(score, 9) DESC, doc_id", k, "query_id, doc_id, score AS s, rank")
+    return f"WITH {t}, dense AS ({dense}), sparse AS ({sparse})"
+
+
+FUSED = top_sql("SELECT * FROM fused", "query_id", "round(score, 9) DESC, doc_id", 10, "query_id, doc_id, round(score, 6) AS score, rank")
+
+
+def scaled(value: str) -> str:
+    return f", dn AS (SELECT query_id, doc_id, CASE WHEN max(x) OVER w = min(x) OVER w THEN 1.0 ELSE (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) END AS d FROM (SELECT query_id, doc_id, {value} AS x FROM dense) WINDOW w AS (PARTITION BY query_id)), sn AS (SELECT query_id, doc_id, CASE WHEN max(s) OVER w = min(s) OVER w THEN 1.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS s FROM sparse WINDOW w AS (PARTITION BY query_id))"
+
+
+def fused_query(name: str, sql: str, p: fusion.FusionParams):
+    def run(spark, d):
+        return hits6(fusion.hybrid(corpus(spark, d), questions(spark, d), 10, p=p).drop("text"), "score")
+
+    query(sql, name)(run)
+
+
+JOINED = "FROM dn FULL JOIN sn USING (query_id, doc_id)"
+fused_query("hybrid_rrf", legs(20) + ", fused AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM dense UNION ALL SELECT query_id, doc_id, rank FROM sparse) GROUP BY ALL) " + FUSED, fusion.FusionParams())
+fused_query("hybrid_linear", legs(20) + scaled("d") + f", fused AS (SELECT query_id, doc_id, 0.5 * coalesce(d, 0) + 0.5 * coalesce(s, 0) AS score {JOINED}) " + FUSED, fusion.FusionParams("linear"))
+fused_query("hybrid_linear_similarity", legs(20) + scaled("-d") + f", fused AS (SELECT query_id, doc_id, 0.7 * coalesce(d, 0) + 0.3 * coalesce(s, 0) AS score {JOINED}) " + FUSED, fusion.FusionParams("linear_similarity", 0.7, 0.3))
+fused_query("hybrid_max", legs(20) + scaled("-d") + f", fused AS (SELECT query_id, doc_id, greatest(coalesce(d, 0), coalesce(s, 0)) AS score {JOINED}) " + FUSED, fusion.FusionParams("max"))
+
+
+@query(legs(20) + scaled("d") + " SELECT query_id, doc_id, round(d, 6) AS distance FROM dn")
+def min_max_scores(spark, d):
+    return hits6(fusion.min_max(knn.search(corpus(spark, d), questions(spark, d), 20, "cosine"), "distance").drop("rank"), "distance")
+
+
+@query(legs(20) + scaled("-d") + f", fused AS (SELECT query_id, doc_id, 0.8 * coalesce(d, 0) + 0.2 * coalesce(s, 0) AS score {JOINED}) " + top_sql("SELECT * FROM fused", "query_id", "round(score, 9) DESC, doc_id", 5, "query_id, doc_id, round(score, 6) AS score, rank"))
+def hybrid_alpha(spark, d):
+    return hits6(retrieval.hybrid_retrieve(corpus(spark, d), questions(spark, d), 5, 0.8).drop("text"), "score")
+
+
+# Retrieval
+
+DENSE = "z AS (SELECT query_id, doc_id, lang, source, text, 1 / (1 + d) AS score FROM ({inner}))"
+
+
+def dense_sql(where: str = "") -> str:
+    return top_sql(f"SELECT query_id, doc_id, lang, source, text, 1 - list_cosine_similarity(v, qv) AS d FROM {CORPUS}, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 5) {where}", "query_id", "d, doc_id", 20, "*")
+
+
+def retrieved_sql(pool: str, keep: str) -> str:
+    return f"WITH {DENSE.format(inner=dense_sql(pool))} " + top_sql(f"SELECT * FROM z {keep}", "query_id", "round(score, 9) DESC, doc_id", 10, "query_id, doc_id, round(score, 6) AS score, rank")
+
+
+def _retrieved(spark, d, **kw):
+    return hits6(retrieval.retrieve(corpus(spark, d), questions(spark, d), 10, **kw).select("query_id", "doc_id", "score", "rank"), "score")
+
+
+@query(retrieved_sql("", "WHERE lang = 'en'"))
+def retrieve_filter_post(spark, d):
+    return _retrieved(spark, d, where={"lang": "en"})
+
+
+@query(retrieved_sql("WHERE lang = 'en'", ""))
+def retrieve_filter_pre(spark, d):
+    return _retrieved(spark, d, where={"lang": "en"}, mode="pre")
+
+
+@query(retrieved_sql("", "WHERE score >= 0.55"))
+def retrieve_threshold(spark, d):
+    return _retrieved(spark, d, threshold=0.55)
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de' AND source = 'src3'")
+def metadata_filter(spark, d):
+    return docs(spark, d).filter(retrieval.matches(F.col("metadata"), {"lang": "de", "source": "src3"})).select("doc_id")
+
+
+OVERLAP = f"(SELECT len(list_intersect(q, {TOK.format('z.text')})) / len(q)::DOUBLE FROM (SELECT list_distinct({TOK.format('b.text')}) AS q))"
+
+
+@query(f"WITH {DENSE.format(inner=dense_sql())} " + top_sql(f"SELECT query_id, doc_id, {OVERLAP} AS score FROM z JOIN benchmark b ON b.item_id = z.query_id", "query_id", "round(score, 9) DESC, doc_id", 10, "query_id, doc_id, round(score, 6) AS score, rank"))
+def rerank_lexical(spark, d):
+    return _retrieved(spark, d, reranker=retrieval.lexical_overlap)
+
+
+# Chunking
+
+FIXED = r"""WITH RECURSIVE d AS (SELECT doc_id, text, len(text) AS n FROM documents),
+r AS (SELECT doc_id, text, n, 0 AS st, CASE WHEN 512 >= n THEN n WHEN strpos(reverse(substr(text, 1, 512)), ' ') > 0 AND 512 - strpos(reverse(substr(text, 1, 512)), ' ') > 0 THEN 512 - strpos(reverse(substr(text, 1, 512)), ' ') ELSE 512 END AS en FROM d WHERE n > 0
+  UNION ALL
+  SELECT doc_id, text, n, s, CASE WHEN s + 512 >= n THEN n WHEN p > 0 AND 512 - p > 0 THEN s + 512 - p ELSE s + 512 END FROM (
+    SELECT doc_id, text, n, s, strpos(reverse(substr(text, s + 1, 512)), ' ') AS p FROM (SELECT doc_id, text, n, CASE WHEN en - 50 <= st THEN en ELSE en - 50 END AS s FROM r WHERE en < n))),
+c AS (SELECT doc_id, st, en, regexp_replace(substr(text, st + 1, en - st), '^\s+|\s+$', '', 'g') AS t FROM r)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS INT) AS chunk_id, t AS text, CAST(st AS INT) AS start_char, CAST(en AS INT) AS end_char FROM c WHERE t <> ''"""
+
+
+@query(FIXED)
+def chunk_fixed(spark, d):
+    return chunking.chunk(docs(spark, d), chunking.ChunkParams("fixed"))
+
+
+def packed_sql(parts: str, glue: str, joined: int, keep_last: bool) -> str:
+    """Greedy packing as a recursion over parts (doc_id, i, x): of the chunks, first and last part and offsets."""
+    carry = "CASE WHEN cnt > 1 THEN prev + n ELSE n END" if keep_last else "n"
+    count = "CASE WHEN cnt > 1 THEN 2 ELSE 1 END" if keep_last else "1"
+    first = "CASE WHEN cnt > 1 THEN i - 1 ELSE i END" if keep_last else "i"
+    return f"""WITH RECURSIVE p AS ({parts}),
+r AS (SELECT doc_id, i, len(x) AS prev, len(x) AS cl, 1 AS cnt, 0 AS cid, i AS f, len(x) AS pos FROM p WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, n, CASE WHEN fl THEN {carry} ELSE cl + n + {joined} END, CASE WHEN fl THEN {count} ELSE cnt + 1 END, CASE WHEN fl THEN cid + 1 ELSE cid END, CASE WHEN fl THEN {first} ELSE f END, pos + n + CASE WHEN fl THEN 0 ELSE {joined} END
+  FROM (SELECT r.doc_id, p.i, len(p.x) AS n, r.prev, r.cl, r.cnt, r.cid, r.f, r.pos, r.cl + len(p.x) > 512 AS fl FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1)),
+g AS (SELECT doc_id, cid, max(f) AS f, max(i) AS l, arg_max(pos, i) AS en, arg_max(cl, i) AS cl FROM r GROUP BY doc_id, cid)
+SELECT g.doc_id, CAST(cid AS INT) AS chunk_id, string_agg(x, '{glue}' ORDER BY i) AS text, CAST(en - cl AS INT) AS start_char, CAST(en AS INT) AS end_char FROM g JOIN p ON p.doc_id = g.doc_id AND p.i BETWEEN g.f AND g.l GROUP BY g.doc_id, cid, en, cl"""
+
+
+def parts_sql(split: str) -> str:
+    return rf"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, x FROM (SELECT doc_id, unnest(range(0, len(xs))) AS k, regexp_replace(unnest(xs), '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, {split} AS xs FROM documents)) WHERE x <> ''"
+
+
+SENTENCE = packed_sql(parts_sql(r"regexp_split_to_array(text, '[.!?]+\s+')"), " ", 0, True)
+PARAGRAPH = packed_sql(parts_sql("string_split(text, chr(10))"), "\n", 1, False)
+
+
+@query(SENTENCE)
+def chunk_sentence(spark, d):
+    return chunking.chunk(docs(spark, d), chunking.ChunkParams("sentence"))
+
+
+@query(SENTENCE)
+def chunk_semantic(spark, d):
+    return chunking.chunk(docs(spark, d), chunking.ChunkParams("semantic"))
+
+
+@query(PARAGRAPH)
+def chunk_paragraph(spark, d):
+    return chunking.chunk(docs(spark, d), chunking.ChunkParams("paragraph", separator="\n"))
+
+
+@query(f"WITH k AS ({FIXED}) SELECT doc_id, chunk_id, lang, source, chunk_id::VARCHAR AS meta_chunk_id, (count(*) OVER (PARTITION BY doc_id))::VARCHAR AS total_chunks FROM k JOIN documents USING (doc_id)")
+def chunk_metadata(spark, d):
+    m = F.col("metadata")
+    return chunking.with_metadata(docs(spark, d), chunking.ChunkParams("fixed")).select("doc_id", "chunk_id", m["lang"].alias("lang"), m["source"].alias("source"), m["chunk_id"].alias("meta_chunk_id"), m["total_chunks"].alias("total_chunks"))
+
+
+@query(f"WITH k AS ({FIXED}), h AS (SELECT doc_id, chunk_id FROM k WHERE chunk_id = doc_id % 3) SELECT 0::BIGINT AS query_id, h.doc_id, h.chunk_id, string_agg(k.text, ' ' ORDER BY k.chunk_id) AS context FROM h JOIN k ON k.doc_id = h.doc_id AND k.chunk_id BETWEEN h.chunk_id - 1 AND h.chunk_id + 1 GROUP BY h.doc_id, h.chunk_id")
+def retrieve_with_context(spark, d):
+    chunks = chunking.chunk(docs(spark, d), chunking.ChunkParams("fixed"))
+    hits = chunks.filter("chunk_id = doc_id % 3").select(F.lit(0).cast("long").alias("query_id"), "doc_id", "chunk_id")
+    return retrieval.with_context(hits, chunks, 1)
+
+
+# Embedding
+
+HASHED = f"w AS (SELECT doc_id, md5(unnest({TOK.format('text')})) AS h FROM documents WHERE doc_id < 200), b AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT < 8 THEN 1 ELSE -1 END) AS s FROM w GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(s * s)) + 1e-8 AS n FROM b GROUP BY doc_id)"
+
+
+@query(f"WITH {HASHED} SELECT b.doc_id, i::INT AS pos, round(s / n, 6) + 0.0 AS x FROM b JOIN n USING (doc_id) WHERE s <> 0")
+def embed_hash(spark, d):
+    v = docs(spark, d).filter("doc_id < 200").select("doc_id", F.posexplode(embedding.hashed(F.col("text"))).alias("pos", "x"))
+    return hits6(v.filter("x <> 0"), "x")
+
+
+def _cache(spark, d):
+    return docs(spark, d).filter("doc_id % 2 = 0").select(embedding.key(F.col("text")).alias("key"), F.array(F.lit(0.0)).alias("vector"), F.lit(1).cast("long").alias("hits")).dropDuplicates(["key"])
+
+
+@query("SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def embed_cache_misses(spark, d):
+    return embedding.misses(docs(spark, d), _cache(spark, d)).select("key")
+
+
+@query("WITH u AS (SELECT sha256(text) AS key, count(*) AS n, max((doc_id % 2 = 0)::INT) AS old FROM documents GROUP BY 1) SELECT key, (n + old)::BIGINT AS hits FROM u ORDER BY hits DESC, key LIMIT 100")
+def embed_cache_lfu(spark, d):
+    _, cache = embedding.lookup(docs(spark, d).select("text"), _cache(spark, d), lambda t: F.array(F.lit(0.0)), 100)
+    return cache.select("key", "hits")
+
+
+# Question answering
+
+
+def top_hits(spark, d):
+    return retrieval.retrieve(corpus(spark, d), questions(spark, d), 5)
+
+
+TOP5 = f"WITH {DENSE.format(inner=dense_sql().replace('rank <= 20', 'rank <= 10'))}, hit AS (" + top_sql("SELECT * FROM z", "query_id", "round(score, 9) DESC, doc_id", 5, "*") + ")"
+CONTEXT = TOP5 + ", c AS (SELECT query_id, string_agg(part, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM (SELECT query_id, rank, part, sum(len(part)) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM (SELECT *, '[Source ' || rank || ']: ' || text AS part FROM hit)) WHERE run <= 2048 GROUP BY query_id)"
+
+
+@query(CONTEXT + " SELECT * FROM c")
+def rag_context(spark, d):
+    return rag.context(top_hits(spark, d))
+
+
+@query(CONTEXT + f", a AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 5) SELECT query_id, '{rag.SYSTEM}' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' AS prompt FROM a LEFT JOIN c USING (query_id)")
+def rag_prompt(spark, d):
+    found = questions(spark, d).join(rag.context(top_hits(spark, d)), "query_id", "left")
+    return found.select("query_id", rag.prompt(F.col("query_text"), F.col("context")).alias("prompt"))
+
+
+@query(TOP5 + " SELECT query_id, rank, doc_id, substr(text, 1, 200) AS text, round(score, 6) AS score FROM hit")
+def rag_sources(spark, d):
+    return hits6(rag.sources(top_hits(spark, d)).select("query_id", F.inline("sources")), "score")
+
+
+@query(TOP5 + f" SELECT query_id, '{rag.ANSWER}' AS answer, count(*)::INT AS num_retrieved FROM hit GROUP BY query_id")
+def rag_query(spark, d):
+    return rag.answer(top_hits(spark, d), questions(spark, d)).select("query_id", "answer", "num_retrieved")
+
+
+@query("SELECT item_id AS query_id, regexp_replace(split_part(text, '.', 1), '^\\s+|\\s+$', '', 'g') AS reasoning, 'because' AS answer FROM benchmark WHERE item_id < 5")
+def rag_cot(spark, d):
+    said = lambda p: F.concat(F.split_part(F.split_part(p, F.lit("Question: "), F.lit(2)), F.lit("."), F.lit(1)), F.lit(" Answer: because"))
+    return rag.answer(top_hits(spark, d), questions(spark, d), generate=said, chain_of_thought=True).select("query_id", "reasoning", "answer")
+
+
+@query(r"SELECT item_id AS query_id, CAST(unnest(range(0, len(w))) AS INT) AS pos, unnest(w) || ' ' AS token FROM (SELECT item_id, regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') AS w FROM benchmark WHERE item_id < 5)")
+def rag_token_stream(spark, d):
+    return rag.token_stream(questions(spark, d).select("query_id", F.col("query_text").alias("answer")))
+
+
+@query(f"WITH k AS ({SENTENCE}) SELECT doc_id AS source_id, chunk_id, text FROM k WHERE doc_id < 100")
+def rag_ingest(spark, d):
+    return rag.ingest(docs(spark, d).filter("doc_id < 100")).select("source_id", "chunk_id", "text")
+
+
+@query(f"WITH k AS ({SENTENCE}) SELECT doc_id AS source_id, chunk_id, text FROM k WHERE doc_id < 100 AND doc_id % 10 <> 0 UNION ALL SELECT doc_id, 0, 'New text ' || doc_id FROM documents WHERE doc_id < 100 AND doc_id % 10 = 0")
+def rag_update(spark, d):
+    old = rag.ingest(docs(spark, d).filter("doc_id < 100"))
+    new = docs(spark, d).filter("doc_id < 100 AND doc_id % 10 = 0").withColumn("text", F.concat(F.lit("New text "), F.col("doc_id").cast("string")))
+    return rag.update(old, new).select("source_id", "chunk_id", "text")
+
+
+@query(f"WITH k AS ({SENTENCE}) SELECT 'sentence' AS strategy, 512 AS chunk_size, 5 AS top_k, count(*) AS total_chunks, count(DISTINCT doc_id) AS documents FROM k WHERE doc_id < 100 AND doc_id % 10 <> 0")
+def rag_stats(spark, d):
+    left = rag.delete(rag.ingest(docs(spark, d).filter("doc_id < 100")), docs(spark, d).filter("doc_id % 10 = 0").select(F.col("doc_id").alias("source_id")))
+    return rag.stats(left)
+
+
+# Shards and nodes
+
+HASH = "((('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT::HUGEINT % 7) * 2 + ('0x' || substr(md5(doc_id::VARCHAR), 17, 16))::UBIGINT::HUGEINT % 7) % 7"
+SH = f"{E}, sh AS (SELECT doc_id, v, ({HASH})::INT AS shard_id FROM e)"
+
+
+def sharded(spark, d):
+    return sharding.route(emb(spark, d).select("doc_id", "vector"), SHARDS)
+
+
+@query(f"WITH {SH} SELECT doc_id, shard_id FROM sh")
+def shard_hash(spark, d):
+    return sharded(spark, d).select("doc_id", "shard_id")
+
+
+@query(f"WITH {E} SELECT doc_id, CASE WHEN doc_id < 100 THEN 0 WHEN doc_id < 300 THEN 1 WHEN doc_id < 400 THEN 2 ELSE 0 END AS shard_id FROM e")
+def shard_range(spark, d):
+    return sharding.route(emb(spark, d), 3, "range", [100, 300, 400]).select("doc_id", "shard_id")
+
+
+@query(f"WITH {E} SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 7)::INT AS shard_id FROM e")
+def shard_round_robin(spark, d):
+    return sharding.route(emb(spark, d), SHARDS, "round_robin").select("doc_id", "shard_id")
+
+
+@query()
+def shard_random(spark, d):
+    return sharding.route(emb(spark, d), SHARDS, "random").select("doc_id", "shard_id")
+
+
+@query(f"WITH {SH} SELECT doc_id, ((shard_id + i) % 7)::INT AS shard_id FROM sh, range(0, 2) t(i)")
+def shard_replicas(spark, d):
+    return sharding.replicate(sharded(spark, d), SHARDS, 2).select("doc_id", "shard_id")
+
+
+@query(f"WITH {SH} SELECT s::INT AS shard_id, count(doc_id) AS doc_count, round(count(doc_id) / (SELECT count(*) FROM sh)::DOUBLE, 6) AS share FROM range(0, 7) t(s) LEFT JOIN sh ON shard_id = s GROUP BY s")
+def shard_stats(spark, d):
+    return hits6(sharding.stats(sharded(spark, d), SHARDS), "share")
+
+
+@query(knn_sql(L2))
+def shard_scatter_gather(spark, d):
+    return hits6(sharding.search(sharding.replicate(sharded(spark, d), SHARDS, 2), asked(spark, d), 10), "distance")
+
+
+@query(f"WITH {SH} SELECT doc_id, shard_id FROM sh WHERE doc_id % 3 <> 1")
+def shard_delete(spark, d):
+    return sharding.delete(sharded(spark, d), emb(spark, d).filter("doc_id % 3 = 1")).select("doc_id", "shard_id")
+
+
+@query(f"WITH {SH} SELECT doc_id, shard_id FROM sh")
+def shard_rebalance(spark, d):
+    return sharding.rebalance(sharding.replicate(sharded(spark, d), 3, 2), SHARDS).select("doc_id", "shard_id")
+
+
+@query(f"WITH {E} SELECT doc_id, (SELECT max(doc_id) FROM e) + row_number() OVER (ORDER BY doc_id) AS new_id FROM e WHERE doc_id % 2 = 0")
+def shard_generate_ids(spark, d):
+    new = emb(spark, d).filter("doc_id % 2 = 0").select(F.col("doc_id").alias("ord"))
+    return sharding.generate_ids(new, emb(spark, d)).select(F.col("ord").alias("doc_id"), "new_id")
+
+
+def nodes(spark):
+    return spark.createDataFrame([(f"node{i}", f"10.0.0.{i}", 8000 + i, i != 2, [i, (i + 1) % 5]) for i in range(5)], cluster.NODES)
+
+
+@query("WITH n AS (SELECT ['node0', 'node1', 'node3', 'node4'] AS h) SELECT doc_id, i::INT AS replica, h[(doc_id + i) % 4 + 1] AS node_id FROM documents, n, range(0, 2) t(i)")
+def node_replicas(spark, d):
+    return cluster.replicas(docs(spark, d), nodes(spark), 2)
+
+
+@query("SELECT doc_id, count(*) FILTER (doc_id % (i + 2) <> 0) AS successes, count(*) AS replicas, count(*) FILTER (doc_id % (i + 2) <> 0) >= count(*) // 2 + 1 AS ok FROM documents, range(0, 3) t(i) GROUP BY doc_id")
+def consistency_check(spark, d):
+    acks = docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("doc_id", (F.col("doc_id") % (F.col("i") + 2) != 0).alias("success"))
+    return cluster.consistency(acks, "quorum")
+
+
+@query("SELECT 5::BIGINT AS total_nodes, 4::BIGINT AS healthy, 1::BIGINT AS unhealthy, 9::BIGINT AS shards")
+def cluster_stats(spark, d):
+    new = spark.createDataFrame([("node5", "10.0.0.5", 8005, True, [4])], cluster.NODES)
+    return cluster.stats(cluster.remove_node(cluster.add_node(nodes(spark), new), nodes(spark).filter("node_id = 'node1'")))
+
+
+@query(knn_sql(L2))
+def distributed_search(spark, d):
+    local = sharding.replicate(sharded(spark, d), SHARDS, 2).withColumn("node_id", F.col("shard_id"))
+    pairs = local.crossJoin(F.broadcast(asked(spark, d))).select("query_id", "node_id", "doc_id", vectors.euclidean(F.col("query_vector"), F.col("vector")).alias("distance"))
+    return hits6(cluster.gather(pairs, 10), "distance")
+
+
+# Store
+
+
+def scratch_base(spark, name):
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/store-{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT vec_id AS doc_id, label FROM embeddings WHERE vec_id % 2 = 0")
+def persist_roundtrip(spark, d):
+    s = store.Store(spark, scratch_base(spark, "roundtrip"))
+    e = emb(spark, d).select("doc_id", "label", "vector")
+    first = s.save({"vectors": e.filter("doc_id % 2 = 0")})
+    s.save({"vectors": e})
+    return s.load("vectors", first).select("doc_id", "label")
+
+
+@query("SELECT vec_id AS doc_id FROM embeddings WHERE vec_id < 20")
+def snapshot_restore(spark, d):
+    s = store.Store(spark, scratch_base(spark, "snapshot"), max_versions=2)
+    s.save({"vectors": emb(spark, d).filter("doc_id < 20").select("doc_id")})
+    s.snapshot("before")
+    for i in range(2):
+        s.save({"vectors": emb(spark, d).filter(F.col("doc_id") == i).select("doc_id")})
+    s.restore("before")
+    return s.load("vectors")
+
+
+@query("SELECT 'v' || i AS version, i AS seq, i > 3 AS kept FROM range(1, 14) t(i)")
+def version_retention(spark, d):
+    return store.retained(spark.range(1, 14).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("version"), F.col("id").alias("seq")), 10)
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id < 50")
+def source_json(spark, d):
+    base = scratch_base(spark, "json")
+    docs(spark, d).filter("doc_id < 50").select("doc_id", "text").write.json(base)
+    return store.read(spark, base, "json", "doc_id long, text string")
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id < 50")
+def source_csv(spark, d):
+    base = scratch_base(spark, "csv")
+    docs(spark, d).filter("doc_id < 50").select("doc_id", "text").write.options(header=True, escape='"').csv(base)
+    return store.read(spark, base, "csv", "doc_id long, text string")
+
+
+@query("SELECT unnest(string_split(text, chr(10))) AS value FROM documents WHERE doc_id < 50")
+def source_text(spark, d):
+    base = scratch_base(spark, "text")
+    docs(spark, d).filter("doc_id < 50").select("text").write.text(base)
+    return store.read(spark, base, "text")
+
+
+@query()
+def store_size(spark, d):
+    s = store.Store(spark, scratch_base(spark, "size"))
+    s.save({"vectors": emb(spark, d)})
+    return s.size()
+
+
+# Service
+
+
+def database(spark, d):
+    return service.Database(corpus(spark, d).drop("label"))
+
+
+@query(f"SELECT 'healthy' AS status, '1.0.0' AS version, count(*) AS index_size FROM {CORPUS}")
+def service_health(spark, d):
+    return database(spark, d).health()
+
+
+@query("SELECT count(value) AS total_queries, round(count(value) / greatest(1.0, sum(value) / 1000), 6) AS qps, round(avg(value), 6) AS avg_latency_ms FROM events")
+def service_stats(spark, d):
+    return hits6(service.stats(table(spark, d, "events"), F.col("value")), "qps", "avg_latency_ms")
+
+
+@query(top_sql(f"SELECT query_id, doc_id, 1 - list_cosine_similarity(v, qv) AS d FROM {CORPUS}, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 5) WHERE lang = 'fr'", "query_id", "d, doc_id", 10, "query_id, doc_id, round(d, 6) + 0.0 AS score, rank"))
+def service_search(spark, d):
+    return hits6(database(spark, d).search(questions(spark, d), 10, where={"lang": "fr"}), "score")
+
+
+@query(top_sql(f"SELECT query_id, doc_id, 1 - list_cosine_similarity(v, qv) AS d FROM {CORPUS}, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (0, 2, 4))", "query_id", "d, doc_id", 3, "query_id, doc_id, round(d, 6) + 0.0 AS score, rank, NULL::VARCHAR AS error") + " UNION ALL SELECT vec_id, NULL, NULL, NULL, 'query vector must have 64 elements' FROM embeddings WHERE vec_id IN (1, 3)")
+def service_bulk_search(spark, d):
+    asked_ = questions(spark, d).withColumn("query_vector", F.when(F.col("query_id") % 2 == 0, F.col("query_vector")))
+    return hits6(database(spark, d).bulk_search(asked_, 64, 3), "score")
+
+
+@query(f"SELECT count(*) AS deleted_count, count(*) > 0 AS success FROM {CORPUS} WHERE doc_id % 7 = 0")
+def service_delete(spark, d):
+    return database(spark, d).delete(docs(spark, d).filter("doc_id % 7 = 0"))[1]
+
+
+@query(f"SELECT count(*) AS index_size FROM {CORPUS}")
+def service_index(spark, d):
+    full = corpus(spark, d).drop("label")
+    return service.Database(full.filter("doc_id % 2 = 0")).index(full.filter("doc_id % 3 = 0 OR doc_id % 2 = 1")).health().select("index_size")
+
+
+@query("SELECT doc_id, text, 'lang=' || lang || ';source=' || source AS metadata, 0.0::DOUBLE AS score FROM documents WHERE doc_id = 7")
+def service_document(spark, d):
+    pairs = F.array_join(F.transform("metadata", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return database(spark, d).document(7).withColumn("metadata", pairs)
+
+
+@query("SELECT doc_id, lang, 'a=' || source AS source FROM documents")
+def metadata_kv_parse(spark, d):
+    items = F.array(F.concat(F.lit("lang="), F.col("metadata")["lang"]), F.lit("noise"), F.concat(F.lit("source=a="), F.col("metadata")["source"]))
+    return docs(spark, d).select("doc_id", service.parse_key_values(items).alias("m")).select("doc_id", F.col("m")["lang"].alias("lang"), F.col("m")["source"].alias("source"))
+
+
+# Evaluation
+
+RECALL = f"{PROBE}, f AS (" + top_sql(f"SELECT query_id, doc_id, {COS_EPS} AS d FROM x JOIN p USING (cell_id)", "query_id", "d, doc_id", 50, "query_id, doc_id, rank") + "), g AS (" + top_sql(f"SELECT query_id, doc_id, {COS_EPS} AS d FROM e, q", "query_id", "d, doc_id", 50, "query_id, doc_id, rank") + ")"
+
+
+def found_and_truth(spark, d, n_probe=3):
+    found = ivf.search(index(spark, d), centroids(spark, d), asked(spark, d), 50, n_probe)
+    return found, knn.search(emb(spark, d), asked(spark, d), 50, "cosine_eps")
+
+
+@query(f"WITH {RECALL} SELECT query_id, round(sum((f.doc_id IS NOT NULL)::INT) / count(*)::DOUBLE, 6) AS recall FROM (SELECT * FROM g WHERE rank <= 10) g LEFT JOIN (SELECT * FROM f WHERE rank <= 10) f USING (query_id, doc_id) GROUP BY query_id")
+def recall_at_k(spark, d):
+    return hits6(evaluation.recall_at_k(*found_and_truth(spark, d), 10), "recall")
+
+
+@query(f"WITH {RECALL} SELECT k, round(avg(r), 6) AS avg_recall, round(min(r), 6) AS min_recall, round(max(r), 6) AS max_recall FROM (SELECT k, query_id, sum((f.doc_id IS NOT NULL)::INT) / count(*)::DOUBLE AS r FROM (SELECT unnest([1, 10, 50]) AS k) JOIN g ON g.rank <= k LEFT JOIN f ON f.query_id = g.query_id AND f.doc_id = g.doc_id AND f.rank <= k GROUP BY k, g.query_id, query_id) GROUP BY k".replace("SELECT k, query_id, sum", "SELECT k, g.query_id, sum").replace("GROUP BY k, g.query_id, query_id", "GROUP BY k, g.query_id"))
+def recall_summary(spark, d):
+    return hits6(evaluation.summary(*found_and_truth(spark, d), (1, 10, 50)), "avg_recall", "min_recall", "max_recall")
+
+
+@query("SELECT true AS rises")
+def recall_sweep(spark, d):
+    """Recall grows with the number of probes, and all cells give all neighbours."""
+    out = None
+    for n in (1, 3, 10):
+        one = evaluation.recall_at_k(*found_and_truth(spark, d, n), 10).agg(F.lit(n).alias("n_probe"), F.avg("recall").alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n_probe", "recall"))), lambda s: s["recall"])
+    return out.agg(((F.array_sort(ordered) == ordered) & (F.element_at(ordered, -1) == 1.0)).alias("rises"))
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS avg_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(1000 / avg(value), 6) AS qps FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return hits6(evaluation.latency(table(spark, d, "events"), F.col("value"), "event_type"), "avg_ms", "p50_ms", "p95_ms", "p99_ms", "qps")
+
+
+@query()
+def stream_ingest(spark, d):
+    from vecspark.streaming.ingest import ingest
+
+    base = scratch_base(spark, "stream")
+    source = docs(spark, d).filter("doc_id < 100").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") + 1_000_000).alias("ts"))
+    source.unionByName(source).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("doc_id long, text string, ts timestamp").parquet(f"{base}/in")
+    ingest(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id", F.size("vector").alias("dim"))
