@@ -99,7 +99,7 @@ def search(codes: DataFrame, queries: DataFrame, codebook: DataFrame, p: PqParam
 
 
 def memory(corpus: DataFrame, p: PqParams) -> DataFrame:
-    """Megabytes of vectors, codes and codebook, and the compression ratio: one row."""
+    """Megabytes of vectors, codes and codebook, and the compression ratio: one row; a code takes one byte, or two beyond 8 bits."""
     n = F.count(F.lit(1)).cast("double")
-    original, compressed, book = n * p.dim * 4 / MB, n * p.m * p.n_bits / 8 / MB, F.lit(p.m * p.centroids * p.width * 4 / MB)
+    original, compressed, book = n * p.dim * 4 / MB, n * p.m * (1 if p.n_bits <= 8 else 2) / MB, F.lit(p.m * p.centroids * p.width * 4 / MB)
     return corpus.agg(original.alias("original_mb"), compressed.alias("compressed_mb"), book.alias("codebook_mb"), (compressed + book).alias("total_mb"), (original / (compressed + book)).alias("compression_ratio"))

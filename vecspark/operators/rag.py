@@ -53,7 +53,7 @@ def split_answer(text: Column) -> tuple[Column, Column]:
     """(reasoning, answer) at the first "Answer:"; without one all is the answer."""
     parts = F.split(text, "Answer:", 2)
     has = F.size(parts) > 1
-    return F.when(has, strip(parts[0])), F.when(has, strip(F.try_element_at(parts, F.lit(2)))).otherwise(strip(text))
+    return F.when(has, strip(parts[0])), F.when(has, strip(F.try_element_at(parts, F.lit(2)))).otherwise(text)
 
 
 def sources(hits: DataFrame, chars: int = 200) -> DataFrame:

@@ -221,7 +221,7 @@ def pq_adc_topk(spark, d):
     return hits6(pq.search(codes, asked(spark, d), codebook(spark, d), PQ, 10), "distance")
 
 
-@query("SELECT n * 256 / 1048576.0 AS original_mb, n * 4 / 1048576.0 AS compressed_mb, 4096 / 1048576.0 AS codebook_mb, (n * 4 + 4096) / 1048576.0 AS total_mb, round(n * 256 / (n * 4.0 + 4096), 6) AS compression_ratio FROM (SELECT count(*)::DOUBLE AS n FROM embeddings)")
+@query("SELECT n * 256 / 1048576.0 AS original_mb, n * 8 / 1048576.0 AS compressed_mb, 4096 / 1048576.0 AS codebook_mb, (n * 8 + 4096) / 1048576.0 AS total_mb, round(n * 256 / (n * 8.0 + 4096), 6) AS compression_ratio FROM (SELECT count(*)::DOUBLE AS n FROM embeddings)")
 def pq_memory(spark, d):
     return hits6(pq.memory(emb(spark, d), PQ), "compression_ratio")
 
