@@ -134,9 +134,7 @@ def parse(html: str) -> Node:
         stack[-1].children.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
-    if at < len(html) and not html.startswith("<", at):
-        stack[-1].children.append(html[at:])
-    elif at < len(html):
+    if at < len(html):  # a tag that the page's end cuts off is none of its text
         stack[-1].children.append(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html[at:]))
     return root
 

@@ -25,7 +25,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.write_and_read(_table(spark, sf_dir, "pages"))
+    return warc.write_and_read(_table(spark, sf_dir, "pages")).drop("urlkey", "stamp", "part", "pos")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
