@@ -91,13 +91,27 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many parts as there are cores.
+
+    Only an input that its files cut into fewer is dealt anew, so no large one is:
+    work on each row costs more than moving a small table.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    piece = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < piece * cores else df
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, tk): null text is empty, tk is the 16-byte digest of the text.
 
     Only these three columns are kept, so extra input columns cannot clash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("tk"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), text.alias("text")))
+    return rows.select("id", "text", F.unhex(F.md5("text")).alias("tk"))
 
 
 def representatives(kd: DataFrame) -> DataFrame:

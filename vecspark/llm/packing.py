@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import arrow_map
+from vecspark.llm._shared import arrow_map, spread
 from vecspark.llm._tokens import crc, encoder, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -76,7 +76,7 @@ def cut(df: DataFrame, path: str, tokens: int, end_id: int = 0, id_col: str = "d
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return arrow_map(df.select(F.col(id_col).cast("long"), F.col(text_col)), run, PIECES)
+    return arrow_map(spread(df.select(F.col(id_col).cast("long"), F.col(text_col))), run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, p: PackParams) -> tuple[np.ndarray, np.ndarray]:

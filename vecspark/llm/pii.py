@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import arrow_map
+from vecspark.llm._shared import arrow_map, spread
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # 0 is O, 1 + 2k is B and 2 + 2k is I of kind k
@@ -405,7 +405,7 @@ def report(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id"
         columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([digest_text(s) for _, s in found], pa.string())]
         return pa.record_batch(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, RESULT)
+    return arrow_map(spread(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))), run, RESULT)
 
 
 def blanked(text: str, spans: list[Span]) -> str:
@@ -429,4 +429,4 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, text_col: str = "text"
         new = [None if t is None else blanked(t, s) for t, (_, s) in zip(texts, found)]
         return batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return arrow_map(docs, run, docs.schema)
+    return arrow_map(spread(docs), run, docs.schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import arrow_map
+from vecspark.llm._shared import arrow_map, spread
 
 THRESHOLD = 0.3
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -239,7 +239,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         s = _score_batch(shared.value, batch.column(2).to_pylist())
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), held_out(id_col), F.col(text_col).cast("string")), run, RESULT)
+    return arrow_map(spread(docs.select(F.col(id_col).cast("long"), held_out(id_col), F.col(text_col).cast("string"))), run, RESULT)
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -250,4 +250,4 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(_score_batch(shared.value, batch.column(at).to_pylist()) >= threshold))
 
-    return arrow_map(docs, run, docs.schema)
+    return arrow_map(spread(docs), run, docs.schema)
