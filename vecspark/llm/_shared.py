@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -71,16 +72,42 @@ def remove(uri: str) -> None:
         fs.delete_dir(path)
 
 
+#: What clears a worker's memories when it turns to other work, and the work it did last.
+CLEARERS: list[Callable[[], None]] = []
+_WORK: list[str] = [""]
+
+
+def enter(work: str) -> None:
+    """A reused Python worker starts some work: what it remembered for other work goes."""
+    if _WORK[0] != work:
+        _WORK[0] = work
+        for clear in CLEARERS:
+            clear()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch, which may return None."""
 
+    work = f"{fn.__module__}.{fn.__qualname__}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(work)
         for batch in batches:
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
             del batch, out
-            pa.default_memory_pool().release_unused()
+            trim()
 
     return df.mapInArrow(run, schema)
 

@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 
+from vecspark.llm._shared import CLEARERS
 from vecspark.llm._words import chunks
 
 #: The piece patterns of the two vocabularies, with their letter, number
@@ -28,7 +29,7 @@ PATTERNS = {
 #: Other scripts, control characters, combining marks and special-token strings go whole.
 WHOLE = re.compile(r"[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]|<\|")
 #: Pieces remembered by one worker; on reaching it the memory starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Likewise for the characters remembered.
 REMEMBERED_CHARS = 40_000_000
 
@@ -131,6 +132,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+CLEARERS.append(_ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:

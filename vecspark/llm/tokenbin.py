@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import filesystem, scratch
+from vecspark.llm._shared import enter, filesystem, scratch
 from vecspark.llm._tokens import crc, encoder, tokenizer_path
 from vecspark.llm._words import MIX, mix64
 
@@ -179,6 +179,7 @@ def write(df: DataFrame, folder: str, tokenizer: str | None = None, end_id: int
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token shards")
         enc = encoder(path)
         width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
         first = next((b for b in batches if b.num_rows), None)
