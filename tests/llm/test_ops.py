@@ -286,6 +286,50 @@ def test_classes_equal_brute_force(spark):
     assert minhash.classes(d.filter("false")).count() == 0 and minhash.one_of_each(d.filter("false")).count() == 0
 
 
+def test_copies_without_their_base(spark, monkeypatch):
+    """Each text is a copy of an absent base with edits of its own; brute force is over all pairs."""
+    r, docs = np.random.default_rng(7), []
+    for i in range(400):
+        x = [f"u{k}" for k in range(204)]
+        for k in r.choice(20, 4, replace=False):
+            x[10 * k + 5] = f"edit{i}-{k}" if r.random() < 0.6 else f"edit{k}"
+        docs.append((i, " ".join(x)))
+    sets = [minhash.shingles([t.encode()], 5)[1:] for _, t in docs]
+    root = np.arange(len(docs))
+    for j in range(len(docs)):
+        for i in range(j):
+            if root[i] != root[j] and minhash.similarity(sets[i], sets[j]) >= 0.8:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    d = table(spark, docs, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK", 150, raising=False)
+    assert {x.doc_id: x.class_id for x in minhash.classes(d).collect()} == dict(enumerate(root.tolist()))
+
+
+def test_blocks_find_the_links_of_all_pairs():
+    r, p = np.random.default_rng(3), minhash.NearParams()
+    base = [f"v{k}" for k in range(60)] * 2 + [f"v{k}" for k in range(40)]
+    texts = []
+    for i in range(80):
+        x = list(base)
+        for k in r.choice(len(x), r.integers(0, 7), replace=False):
+            x[k] = f"e{i}"
+        texts.append(" ".join(x[: r.integers(150, 161)]).encode())
+    sets = [minhash.shingles([t], 5)[1:] for t in texts]
+    names = [bytes([i]) for i in range(80)]
+    for n_left in (80, 30):
+        pairs = [(i, j) for i in range(n_left) for j in range(i + 1 if n_left == 80 else n_left, 80)]
+        near = {q for q in pairs if minhash.similarity(sets[q[0]], sets[q[1]]) >= p.similarity}
+        got = minhash.cross_links(texts, names, n_left, p)
+        assert set(got) <= near and 0 < len(near) < len(pairs)
+        groups = []
+        for edges in (near, got):
+            root = list(range(80))
+            for i, j in edges:
+                root = [root[i] if x == root[j] else x for x in root]
+            groups.append({frozenset(k for k in range(80) if root[k] == x) for x in root})
+        assert groups[0] == groups[1]
+
+
 def test_signatures_estimate_the_similarity():
     a, b = (prose(1, 400) + " ") * 2 + prose(2, 200), prose(1, 400) + " " + prose(3, 100)
     docs, e, w = minhash.shingles([a.encode(), b.encode()], 5)

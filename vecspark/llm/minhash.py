@@ -17,8 +17,10 @@ share most buckets with others: the text that others were copied from shares mor
 each of them than they do among themselves. The pairs are verified by their exact J_P.
 Where a bucket then still holds texts of two classes, members are also paired with
 their `neighbours` of another class in a random order of the bucket's own, and these
-are verified too; two texts share some ten buckets, each with another order. Classes
-are the connected components of the verified links.
+are verified too; two texts share some ten buckets, each with another order. These two
+passes only save work: where two classes are then left in a bucket, its members are
+compared block by block until no pair of different classes is untried. Classes are the
+connected components of the verified links.
 
 Defined cases: null text is empty; texts without words have no shingles and are
 linked by nothing, but equal ones are one class, as are all equal texts; repeated
@@ -28,6 +30,7 @@ columns are ignored by `classes` and kept by `one_of_each`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import arrow_map, keyed, raw, release, row_key, saved, texts_of
+from vecspark.llm._shared import arrow_map, enter, keyed, raw, release, row_key, saved, texts_of, trim
 from vecspark.llm._words import MIX, chunks, mix64, rolling, signed, within, word_hashes
 from vecspark.llm.components import components
 
 RESULT = "doc_id long, class_id long, n_links long, representative boolean"
+#: About as many texts, or bytes of them, make a block of the last pass.
+BLOCK, BLOCK_BYTES = 256, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -165,16 +170,21 @@ def star(members: DataFrame, p: NearParams) -> DataFrame:
     return _ordered(ranked.join(leaders, "bucket").filter("cb > c OR (cb = c AND b < tk)").select(F.col("tk").alias("a"), "b"))
 
 
+def still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, tk, k, label): the members of buckets that still hold two classes."""
+    named = members.join(labels.select(F.col("node").alias("tk"), "label"), "tk", "left").select("bucket", "tk", "k", F.coalesce("label", "tk").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
+    return named.join(mixed, "bucket")
+
+
 def chain(members: DataFrame, labels: DataFrame, p: NearParams) -> DataFrame:
     """(a, b): in buckets that still hold two classes, neighbours of different classes.
 
     The order is a bucket's own and random, cut into slices, so that a hot bucket is
     no hot task.
     """
-    named = members.join(labels.select(F.col("node").alias("tk"), "label"), "tk", "left").select("bucket", "tk", "k", F.coalesce("label", "tk").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
     h = F.xxhash64("bucket", "tk")
-    sliced = named.join(mixed, "bucket").withColumn("h", h).withColumn("slice", F.pmod(h, F.ceil(F.col("k") / 512)))
+    sliced = still_mixed(members, labels).withColumn("h", h).withColumn("slice", F.pmod(h, F.ceil(F.col("k") / 512)))
     ring = Window.partitionBy("bucket", "slice").orderBy("h", "tk")
     pairs = None
     for step in range(1, p.neighbours + 1):
@@ -205,14 +215,113 @@ def verified(pairs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     return saved(arrow_map(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary"), "near")
 
 
+def cross_links(texts: list[bytes], classes_: list[bytes], n_left: int, p: NearParams) -> list[tuple[int, int]]:
+    """Links that join the classes of a block, or of two: the first `n_left` texts are then compared with the others.
+
+    Every pair of different classes is tried until a link has made them one. Most fail
+    by an upper bound of J_P. With A and B the sums of all weights, the term of a common
+    d is 1 / (A / a_d + B / b_d - sum over e of min(a_e / a_d, b_e / b_d)); the sum is
+    known where a_d = b_d, and at most each text's common weight over a_d or b_d.
+    """
+    parts = []
+    for a, b in chunks([len(t) for t in texts], 2_000_000):
+        d, h, w = shingles(texts[a:b], p.words)
+        parts.append((d + a, h, w))
+    docs, e, w = (np.concatenate(x) for x in zip(*parts))
+    n, (vocab, at) = len(texts), np.unique(e, return_inverse=True)
+    start, whole = np.searchsorted(docs, np.arange(n + 1)), np.bincount(docs, w, n)
+    root = np.unique(np.array([c.hex() for c in classes_]), return_inverse=True)[1]
+    one, found = np.zeros(len(vocab)), []
+    for i in range(n_left):
+        low = i + 1 if n_left == n else n_left
+        if (root[low:] == root[i]).all():
+            continue
+        mine, rest = slice(start[i], start[i + 1]), slice(start[low], None)
+        one[at[mine]] = w[mine]
+        x = one[at[rest]]
+        hit = np.flatnonzero(x)
+        x, y, j = x[hit], w[rest][hit], docs[rest][hit] - low
+        least, xs, ys = (np.bincount(j, v, n - low) for v in (np.minimum(x, y), x, y))
+        shared = np.where(x == y, least[j] / x, np.minimum(xs[j] / x, ys[j] / y))
+        bound = np.bincount(j, 1 / (whole[i] / x + whole[low:][j] / y - shared), n - low)
+        one[at[mine]] = 0
+        for k in np.flatnonzero(bound >= p.similarity - 1e-9) + low:
+            other = slice(start[k], start[k + 1])
+            if root[k] != root[i] and similarity((e[mine], w[mine]), (e[other], w[other])) >= p.similarity:
+                found.append((i, int(k)))
+                root[root == root[k]] = root[i]
+    return found
+
+
+def blocks_of(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(task, second, tk, label): for each two blocks of a bucket that hold different classes, their members.
+
+    A class larger than a block has blocks of its own, never compared with one another;
+    the others share blocks. Buckets of the same members are compared once.
+    """
+    twin = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("tk")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "tk")).alias("y")]
+    once = mixed.groupBy("bucket").agg(*twin).groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    sized = mixed.join(once, "bucket").join(texts.select("tk", F.octet_length("text").alias("size")), "tk")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_BYTES), F.lit(1).cast("long"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")]
+    each = sized.groupBy("bucket", "label").agg(*sums).withColumn("parts", parts)
+    pool = each.filter("parts = 1").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select("bucket", parts.alias("pool"))
+    cut = each.select("bucket", "label", "parts").join(pool, "bucket", "left")
+    own = F.col("parts") > 1
+    owner = F.when(own, F.col("label")).otherwise(F.unhex(F.lit("")))
+    slice_ = F.when(own, F.pmod(F.xxhash64("bucket", "tk"), "parts")).otherwise(F.pmod(F.xxhash64("bucket", "label"), "pool"))
+    placed = saved(sized.join(cut, ["bucket", "label"]).select("bucket", "tk", "label", F.struct(owner.alias("owner"), slice_.alias("slice")).alias("block")), "blocks")
+    blocks = placed.select("bucket", "block").distinct()
+    two = blocks.withColumnRenamed("block", "l").join(blocks.withColumnRenamed("block", "r"), "bucket")
+    two = two.filter("l <= r AND (l.owner <> r.owner OR l.owner = X'')")
+    name = F.concat_ws("-", "bucket", F.hex("l.owner"), "l.slice", F.hex("r.owner"), "r.slice")
+    sides = F.array_distinct(F.array("l", "r"))
+    task = two.select("bucket", F.unhex(F.md5(name.cast("binary"))).alias("task"), F.posexplode(sides).alias("second", "block"))
+    return task.join(placed, ["bucket", "block"]).select("task", "second", "tk", "label")
+
+
+def untried(members: DataFrame, labels: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+    """Saved (a, b): links found among all pairs of different classes that share a bucket."""
+
+    def compared(rows: list[tuple]) -> pa.RecordBatch | None:
+        tks, n_left = [r[2] for r in rows], sum(r[1] == 0 for r in rows)
+        found = cross_links([r[4] for r in rows], [r[3] for r in rows], n_left, p)
+        if not found:
+            return None
+        return pa.record_batch([pa.array([max(tks[i], tks[k]) for i, k in found], pa.binary()), pa.array([min(tks[i], tks[k]) for i, k in found], pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(f"{__name__}.untried")
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), raw(batch.column(4))):
+                if rows and rows[0][0] != row[0]:
+                    out, rows = compared(rows), []
+                    if out is not None:
+                        yield out
+                rows.append(row)
+            trim()
+        out = compared(rows) if rows else None
+        if out is not None:
+            yield out
+
+    mixed = saved(still_mixed(members, labels), "mixed")
+    dealt = blocks_of(mixed, texts).join(texts, "tk").select("task", "second", "tk", "label", "text")
+    out = saved(dealt.repartition("task").sortWithinPartitions("task", "second", "tk").mapInArrow(run, "a binary, b binary").distinct(), "untried")
+    release(mixed)
+    return out
+
+
 def links(kd: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
     """(a, b): verified links that connect each class."""
     members = saved(members_of(reps, p), "buckets")
     texts = saved(texts_of(kd, reps.join(members.select("tk").distinct(), "tk").select("tk", "rep_id")), "texts")
     first = verified(star(members, p), texts, p)
     second = verified(chain(members, components(first), p), texts, p)
+    tried = first.unionByName(second).distinct()
+    third = untried(members, components(tried), texts, p)
     release(members, texts)
-    return first.unionByName(second).distinct()
+    return tried.unionByName(third).distinct()
 
 
 def text_classes(docs: DataFrame, p: NearParams, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
