@@ -126,6 +126,11 @@ def vec_normalize(spark, d):
     return hits6(n, "x")
 
 
+@query(ORACLES["vec_normalize"].replace(" WHERE doc_id < 50", ""))
+def vec_normalize_all(spark, d):
+    return hits6(emb(spark, d).select("doc_id", F.posexplode(vectors.normalize(F.col("vector"))).alias("pos", "x")), "x")
+
+
 @query(f"WITH {EQ} SELECT query_id, doc_id, round(1 / (1 + {L2}), 6) AS score FROM e, q WHERE query_id < 3")
 def similarity_score(spark, d):
     q = F.broadcast(asked(spark, d, 3))
@@ -210,6 +215,12 @@ def pq_decode(spark, d):
     return hits6(pq.decode(codes, codebook(spark, d)).select("doc_id", F.posexplode("vector").alias("pos", "x")), "x")
 
 
+@query(ORACLES["pq_decode"].replace(" WHERE doc_id < 100", ""))
+def pq_decode_all(spark, d):
+    codes = pq.encode(emb(spark, d), codebook(spark, d), PQ)
+    return hits6(pq.decode(codes, codebook(spark, d)).select("doc_id", F.posexplode("vector").alias("pos", "x")), "x")
+
+
 @query(f"WITH {CODE} SELECT doc_id AS query_id, m::INT AS m, code::INT AS code, round(list_distance(v[m * 8 + 1:m * 8 + 8], c), 6) + 0.0 AS distance FROM e, b WHERE doc_id < 10")
 def pq_distance_table(spark, d):
     return hits6(pq.distance_table(asked(spark, d), codebook(spark, d), PQ), "distance")
@@ -475,6 +486,12 @@ def embed_hash(spark, d):
     return hits6(v.filter("x <> 0"), "x")
 
 
+@query(ORACLES["embed_hash"].replace(" WHERE doc_id < 200", ""))
+def embed_hash_all(spark, d):
+    v = docs(spark, d).select("doc_id", F.posexplode(embedding.hashed(F.col("text"))).alias("pos", "x"))
+    return hits6(v.filter("x <> 0"), "x")
+
+
 def _cache(spark, d):
     return docs(spark, d).filter("doc_id % 2 = 0").select(embedding.key(F.col("text")).alias("key"), F.array(F.lit(0.0)).alias("vector"), F.lit(1).cast("long").alias("hits")).dropDuplicates(["key"])
 
@@ -551,6 +568,22 @@ def rag_stats(spark, d):
     return rag.stats(left)
 
 
+@query(ORACLES["rag_ingest"].replace(" WHERE doc_id < 100", ""))
+def rag_ingest_all(spark, d):
+    return rag.ingest(docs(spark, d)).select("source_id", "chunk_id", "text")
+
+
+@query(ORACLES["rag_update"].replace("doc_id < 100 AND ", ""))
+def rag_update_all(spark, d):
+    new = docs(spark, d).filter("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("New text "), F.col("doc_id").cast("string")))
+    return rag.update(rag.ingest(docs(spark, d)), new).select("source_id", "chunk_id", "text")
+
+
+@query(ORACLES["rag_stats"].replace("doc_id < 100 AND ", ""))
+def rag_stats_all(spark, d):
+    return rag.stats(rag.delete(rag.ingest(docs(spark, d)), docs(spark, d).filter("doc_id % 10 = 0").select(F.col("doc_id").alias("source_id"))))
+
+
 # Shards and nodes
 
 HASH = "((('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT::HUGEINT % 7) * 2 + ('0x' || substr(md5(doc_id::VARCHAR), 17, 16))::UBIGINT::HUGEINT % 7) % 7"
@@ -671,6 +704,17 @@ def snapshot_restore(spark, d):
     return s.load("vectors")
 
 
+@query(ORACLES["snapshot_restore"].replace(" WHERE vec_id < 20", ""))
+def snapshot_restore_all(spark, d):
+    s = store.Store(spark, scratch_base(spark, "snapshot"), max_versions=2)
+    s.save({"vectors": emb(spark, d).select("doc_id")})
+    s.snapshot("before")
+    for i in range(2):
+        s.save({"vectors": emb(spark, d).filter(F.col("doc_id") == i).select("doc_id")})
+    s.restore("before")
+    return s.load("vectors")
+
+
 @query("SELECT 'v' || i AS version, i AS seq, i > 3 AS kept FROM range(1, 14) t(i)")
 def version_retention(spark, d):
     return store.retained(spark.range(1, 14).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("version"), F.col("id").alias("seq")), 10)
@@ -697,6 +741,27 @@ def source_text(spark, d):
     return store.read(spark, base, "text")
 
 
+@query(ORACLES["source_json"].replace(" WHERE doc_id < 50", ""))
+def source_json_all(spark, d):
+    base = scratch_base(spark, "json")
+    docs(spark, d).select("doc_id", "text").write.json(base)
+    return store.read(spark, base, "json", "doc_id long, text string")
+
+
+@query(ORACLES["source_csv"].replace(" WHERE doc_id < 50", ""))
+def source_csv_all(spark, d):
+    base = scratch_base(spark, "csv")
+    docs(spark, d).select("doc_id", "text").write.options(header=True, escape='"').csv(base)
+    return store.read(spark, base, "csv", "doc_id long, text string")
+
+
+@query(ORACLES["source_text"].replace(" WHERE doc_id < 50", ""))
+def source_text_all(spark, d):
+    base = scratch_base(spark, "text")
+    docs(spark, d).select("text").write.text(base)
+    return store.read(spark, base, "text")
+
+
 @query()
 def store_size(spark, d):
     s = store.Store(spark, scratch_base(spark, "size"))
@@ -796,7 +861,7 @@ def stream_ingest(spark, d):
     from vecspark.streaming.ingest import ingest
 
     base = scratch_base(spark, "stream")
-    source = docs(spark, d).filter("doc_id < 100").select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") + 1_000_000).alias("ts"))
+    source = docs(spark, d).select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") + 1_000_000).alias("ts"))
     source.unionByName(source).write.parquet(f"{base}/in")
     stream = spark.readStream.schema("doc_id long, text string, ts timestamp").parquet(f"{base}/in")
     ingest(stream, f"{base}/out", f"{base}/state").awaitTermination()
