@@ -47,6 +47,16 @@ def asked(spark, d, n=10):
     return emb(spark, d).filter(F.col("doc_id") < n).select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
+def all_asked(spark, d):
+    """The stated query set: every vector whose id is divisible by 20."""
+    return emb(spark, d).filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+def all_questions(spark, d):
+    """Every benchmark text whose id is divisible by 20."""
+    return table(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
 def docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
 
@@ -256,13 +266,13 @@ def graph(spark, d):
 
 @query()
 def hnsw_search(spark, d):
-    return hits6(hnsw.search(graph(spark, d), asked(spark, d), 10, 64), "distance")
+    return hits6(hnsw.search(graph(spark, d), all_asked(spark, d), 10, 64), "distance")
 
 
 @query("SELECT true AS reached")
 def hnsw_recall(spark, d):
-    found = hnsw.search(graph(spark, d), asked(spark, d), 10, 100)
-    truth = knn.search(emb(spark, d), asked(spark, d), 10, "l2")
+    found = hnsw.search(graph(spark, d), all_asked(spark, d), 10, 100)
+    truth = knn.search(emb(spark, d), all_asked(spark, d), 10, "l2")
     return evaluation.recall_at_k(found, truth, 10).agg((F.avg("recall") >= 0.95).alias("reached"))
 
 
@@ -825,9 +835,9 @@ def metadata_kv_parse(spark, d):
 RECALL = f"{PROBE}, f AS (" + top_sql(f"SELECT query_id, doc_id, {COS_EPS} AS d FROM x JOIN p USING (cell_id)", "query_id", "d, doc_id", 50, "query_id, doc_id, rank") + "), g AS (" + top_sql(f"SELECT query_id, doc_id, {COS_EPS} AS d FROM e, q", "query_id", "d, doc_id", 50, "query_id, doc_id, rank") + ")"
 
 
-def found_and_truth(spark, d, n_probe=3):
-    found = ivf.search(index(spark, d), centroids(spark, d), asked(spark, d), 50, n_probe)
-    return found, knn.search(emb(spark, d), asked(spark, d), 50, "cosine_eps")
+def found_and_truth(spark, d, n_probe=3, queries=asked):
+    found = ivf.search(index(spark, d), centroids(spark, d), queries(spark, d), 50, n_probe)
+    return found, knn.search(emb(spark, d), queries(spark, d), 50, "cosine_eps")
 
 
 @query(f"WITH {RECALL} SELECT query_id, round(sum((f.doc_id IS NOT NULL)::INT) / count(*)::DOUBLE, 6) AS recall FROM (SELECT * FROM g WHERE rank <= 10) g LEFT JOIN (SELECT * FROM f WHERE rank <= 10) f USING (query_id, doc_id) GROUP BY query_id")
@@ -845,7 +855,7 @@ def recall_sweep(spark, d):
     """Recall grows with the number of probes, and all cells give all neighbours."""
     out = None
     for n in (1, 3, 10):
-        one = evaluation.recall_at_k(*found_and_truth(spark, d, n), 10).agg(F.lit(n).alias("n_probe"), F.avg("recall").alias("recall"))
+        one = evaluation.recall_at_k(*found_and_truth(spark, d, n, all_asked), 10).agg(F.lit(n).alias("n_probe"), F.avg("recall").alias("recall"))
         out = one if out is None else out.unionByName(one)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n_probe", "recall"))), lambda s: s["recall"])
     return out.agg(((F.array_sort(ordered) == ordered) & (F.element_at(ordered, -1) == 1.0)).alias("rises"))
@@ -866,3 +876,61 @@ def stream_ingest(spark, d):
     stream = spark.readStream.schema("doc_id long, text string, ts timestamp").parquet(f"{base}/in")
     ingest(stream, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("doc_id", F.size("vector").alias("dim"))
+
+
+# The searches with every query whose id is divisible by 20
+
+
+def every(name: str) -> str:
+    return ORACLES[name].replace("WHERE doc_id < 10", "WHERE doc_id % 20 = 0").replace("WHERE item_id < 5", "WHERE item_id % 20 = 0")
+
+
+for _metric in ("cosine", "l2", "dot"):
+
+    def _exact_all(spark, d, m=_metric):
+        return hits6(knn.search(emb(spark, d), all_asked(spark, d), 10, m), "distance")
+
+    query(every(f"knn_exact_{_metric}"), f"knn_exact_{_metric}_all")(_exact_all)
+
+
+@query(every("knn_batch"))
+def knn_batch_all(spark, d):
+    return hits6(knn.search(emb(spark, d), all_asked(spark, d), 5, "l2", exclude_self=True), "distance")
+
+
+@query(every("ivf_search"))
+def ivf_search_all(spark, d):
+    return hits6(ivf.search(index(spark, d), centroids(spark, d), all_asked(spark, d), 10, 3), "distance")
+
+
+@query(every("pq_adc_topk"))
+def pq_adc_topk_all(spark, d):
+    codes = pq.encode(emb(spark, d), codebook(spark, d), PQ)
+    return hits6(pq.search(codes, all_asked(spark, d), codebook(spark, d), PQ, 10), "distance")
+
+
+@query(every("recall_at_k"))
+def recall_at_k_all(spark, d):
+    return hits6(evaluation.recall_at_k(*found_and_truth(spark, d, queries=all_asked), 10), "recall")
+
+
+@query(every("shard_scatter_gather"))
+def shard_scatter_gather_all(spark, d):
+    return hits6(sharding.search(sharding.replicate(sharded(spark, d), SHARDS, 2), all_asked(spark, d), 10), "distance")
+
+
+@query(every("distributed_search"))
+def distributed_search_all(spark, d):
+    local = sharding.replicate(sharded(spark, d), SHARDS, 2).withColumn("node_id", F.col("shard_id"))
+    pairs = local.crossJoin(F.broadcast(all_asked(spark, d))).select("query_id", "node_id", "doc_id", vectors.euclidean(F.col("query_vector"), F.col("vector")).alias("distance"))
+    return hits6(cluster.gather(pairs, 10), "distance")
+
+
+@query(every("bm25_scores"))
+def bm25_scores_all(spark, d):
+    return hits6(bm25.scores(docs(spark, d), all_questions(spark, d)), "score")
+
+
+@query(every("bm25_topk"))
+def bm25_topk_all(spark, d):
+    return hits6(bm25.search(docs(spark, d), all_questions(spark, d), 10), "score")
