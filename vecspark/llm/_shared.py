@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,13 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor and the driver can reach.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (tests on one machine) a temporary folder takes its place.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local master,
+    as in tests, may leave it unset and gets a temporary folder.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.environ.get("VECSPARK_LOCAL_SHARED")
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="vecspark-")
@@ -83,31 +87,49 @@ def enter(work: str) -> None:
         _WORK[0] = work
         for clear in CLEARERS:
             clear()
-        trim()
 
 
-def trim() -> None:
-    """Give freed memory back to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass
+#: Bytes of columns that a function of `arrow_map` gets at once; a longer row comes alone.
+PIECE_BYTES = 4_000_000
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray:
+    """About the bytes of each row of a column; exact for text and binary."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return n * max(8, column.values.nbytes // max(1, len(column.values)))
+    return np.full(len(column), 8, np.int64)
+
+
+def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `limit` bytes, or one row."""
+    if batch.nbytes <= limit or batch.num_rows < 2:
+        yield batch
+        return
+    ends = np.cumsum(sum(_row_bytes(c) for c in batch.columns))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch, which may return None."""
+    """mapInArrow with a function of a bounded piece of a batch, which may return None."""
 
     work = f"{fn.__module__}.{fn.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter(work)
         for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
-            del batch, out
-            trim()
+            for piece in pieces(batch):
+                out = fn(piece)
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -155,8 +177,16 @@ def row_key(id_col: Column, tk: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary"), tk)))
 
 
-def texts_of(kd: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tk, text) of the representative rows in `nodes` (tk, rep_id), once each."""
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def texts_of(kd: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """(tk, text, more) of the representative rows in `nodes` (tk, rep_id, more), once each."""
     rows = kd.select(row_key(F.col("id"), F.col("tk")).alias("k"), "tk", "text")
-    got = rows.join(nodes.select(row_key(F.col("rep_id"), F.col("tk")).alias("k")), "k")
-    return got.dropDuplicates(["k"]).select("tk", "text")
+    got = rows.join(nodes.select(row_key(F.col("rep_id"), F.col("tk")).alias("k"), *more), "k")
+    return got.dropDuplicates(["k"]).select("tk", "text", *more)

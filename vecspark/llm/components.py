@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import saved
+from vecspark.llm._shared import release, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,19 +13,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round a node takes the least label among itself and its neighbours, then the
     label of that label. Minima are summed before the shuffle, so a node with very
-    many links costs a row for each task; the rounds are about the logarithm of the
-    longest chain. Every round is written to the shared folder.
+    many links costs a row for each task. Only labels that move are looked up, each
+    once, so a label of very many nodes meets a short table, which Spark sends to all
+    or joins with the label's nodes split. The rounds are about the logarithm of the
+    longest chain; every round is written to the shared folder.
     """
-    both = saved(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "links")
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = saved(labels, "labels")
+    both = saved(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "neighbours")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    labels = saved(least, "labels")
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         least = both.join(seen, "b").groupBy("a").agg(F.min("near").alias("near"))
         taken = labels.join(least, labels["node"] == least["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = taken.select(F.col("node").alias("up"), F.col("label").alias("upper"))
-        jumped = taken.join(up, taken["label"] == up["up"], "left").select("node", "old", F.least("label", "upper").alias("label"))
+        taken = saved(taken, "taken")
+        up = taken.filter("label <> node").select(F.col("node").alias("up"), F.col("label").alias("upper"))
+        moves = taken.select(F.col("label").alias("at")).distinct().join(up, F.col("at") == F.col("up")).select("at", "upper")
+        jumped = taken.join(moves, taken["label"] == moves["at"], "left").select("node", "old", F.least("label", "upper").alias("label"))
         done = saved(jumped, "labels")
+        release(labels, taken)
         labels = done.select("node", "label")
+        labels._vecspark_path = done._vecspark_path
         if done.filter("old <> label").isEmpty():
+            release(both)
             return labels

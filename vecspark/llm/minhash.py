@@ -12,15 +12,16 @@ J_P = sum over common d of 1 / sum over e of max(a_e / a_d, b_e / b_d), which fo
 unweighted shingles is the Jaccard similarity.
 
 The registers are cut into bands; texts with an equal band share a bucket. A bucket
-never makes all its pairs. Its members are first paired with its `leaders`, those that
-share most buckets with others: the text that others were copied from shares more with
-each of them than they do among themselves. The pairs are verified by their exact J_P.
-Where a bucket then still holds texts of two classes, members are also paired with
-their `neighbours` of another class in a random order of the bucket's own, and these
-are verified too; two texts share some ten buckets, each with another order. These two
-passes only save work: where two classes are then left in a bucket, its members are
-compared block by block until no pair of different classes is untried. Classes are the
-connected components of the verified links.
+never makes all its pairs. Its members are first paired with its leader, the one that
+shares most buckets with others: the text that others were copied from shares more with
+each of them than they do among themselves, and leads most of their buckets. The pairs
+are verified by their exact J_P. Where a bucket then still holds texts of two classes,
+members are also paired with their `neighbours` of another class in a random order of
+the bucket's own, and these are verified too; two texts share some ten buckets, each
+with another order. These two passes only save work: where two classes are then left in
+a bucket, its members are compared block by block until no pair of different classes is
+untried. A pair that shares several buckets is compared in the first of them alone.
+Classes are the connected components of the verified links.
 
 Defined cases: null text is empty; texts without words have no shingles and are
 linked by nothing, but equal ones are one class, as are all equal texts; repeated
@@ -38,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import arrow_map, enter, keyed, raw, release, row_key, saved, texts_of, trim
+from vecspark.llm._shared import arrow_map, enter, keyed, pieces, raw, release, row_key, saved, texts_of, unused
 from vecspark.llm._words import MIX, chunks, mix64, rolling, signed, within, word_hashes
 from vecspark.llm.components import components
 
 RESULT = "doc_id long, class_id long, n_links long, representative boolean"
 #: About as many texts, or bytes of them, make a block of the last pass.
-BLOCK, BLOCK_BYTES = 256, 4_000_000
+BLOCK, BLOCK_BYTES = 1024, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,6 @@ class NearParams:
     similarity: float = 0.8
     bands: int = 26
     rows: int = 5
-    leaders: int = 3
     neighbours: int = 2
 
 
@@ -136,7 +136,7 @@ def signed_bands(kd: DataFrame, p: NearParams) -> DataFrame:
 
 
 def buckets(reps: DataFrame, p: NearParams) -> DataFrame:
-    """(bucket, tk) for each band of each representative."""
+    """(bucket, band, tk) for each band of each representative."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keep = batch.filter(batch.column(1).is_valid())
@@ -145,13 +145,14 @@ def buckets(reps: DataFrame, p: NearParams) -> DataFrame:
         tk, bands = keep.column(0), keep.column(1).to_pylist()
         flat = np.frombuffer(b"".join(bands), "<u8")
         index = pa.array(np.repeat(np.arange(len(bands)), p.bands))
-        return pa.record_batch([pa.array(signed(flat)), tk.take(index)], names=["bucket", "tk"])
+        band = np.tile(np.arange(p.bands, dtype=np.int32), len(bands))
+        return pa.record_batch([pa.array(signed(flat)), pa.array(band), tk.take(index)], names=["bucket", "band", "tk"])
 
-    return arrow_map(reps.select("tk", "bands"), run, "bucket long, tk binary")
+    return arrow_map(reps.select("tk", "bands"), run, "bucket long, band int, tk binary")
 
 
 def members_of(reps: DataFrame, p: NearParams) -> DataFrame:
-    """(bucket, tk, k): the texts of each bucket of at least two, and how many they are."""
+    """(bucket, band, tk, k): the texts of each bucket of at least two, and how many they are."""
     all_ = buckets(reps, p)
     shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     return all_.join(shared, "bucket")
@@ -161,18 +162,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def star(members: DataFrame, p: NearParams) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's leaders."""
+def star(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's leader, the first in one order of all texts."""
     central = members.groupBy("tk").agg(F.sum("k").alias("c"))
     ranked = members.join(central, "tk").select("bucket", "tk", "c")
-    order = Window.partitionBy("bucket").orderBy(F.desc("c"), "tk")
-    leaders = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= p.leaders).select("bucket", F.col("tk").alias("b"), F.col("c").alias("cb"))
-    return _ordered(ranked.join(leaders, "bucket").filter("cb > c OR (cb = c AND b < tk)").select(F.col("tk").alias("a"), "b"))
+    leader = ranked.groupBy("bucket").agg(F.max(F.struct("c", "tk")).alias("first")).select("bucket", F.col("first.tk").alias("b"))
+    return _ordered(ranked.join(leader, "bucket").select(F.col("tk").alias("a"), "b"))
 
 
 def still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, tk, k, label): the members of buckets that still hold two classes."""
-    named = members.join(labels.select(F.col("node").alias("tk"), "label"), "tk", "left").select("bucket", "tk", "k", F.coalesce("label", "tk").alias("label"))
+    """(bucket, band, tk, k, label): the members of buckets that still hold two classes."""
+    named = members.join(labels.select(F.col("node").alias("tk"), "label"), "tk", "left").select("bucket", "band", "tk", "k", F.coalesce("label", "tk").alias("label"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
     return named.join(mixed, "bucket")
 
@@ -215,12 +215,14 @@ def verified(pairs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     return saved(arrow_map(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary"), "near")
 
 
-def cross_links(texts: list[bytes], classes_: list[bytes], n_left: int, p: NearParams) -> list[tuple[int, int]]:
+def cross_links(texts: list[bytes], classes_: list[bytes], bands: np.ndarray, band: int, n_left: int, p: NearParams) -> list[tuple[int, int]]:
     """Links that join the classes of a block, or of two: the first `n_left` texts are then compared with the others.
 
-    Every pair of different classes is tried until a link has made them one. Most fail
-    by an upper bound of J_P. With A and B the sums of all weights, the term of a common
-    d is 1 / (A / a_d + B / b_d - sum over e of min(a_e / a_d, b_e / b_d)); the sum is
+    Every pair of different classes whose first common bucket is that of `band` is
+    tried, until a link has made them one; texts of small classes go first, so that a
+    large class is met only by the others. Most pairs fail by an upper bound of J_P.
+    With A and B the sums of all weights, the term of a common d is
+    1 / (A / a_d + B / b_d - sum over e of min(a_e / a_d, b_e / b_d)); the sum is
     known where a_d = b_d, and at most each text's common weight over a_d or b_d.
     """
     parts = []
@@ -232,35 +234,44 @@ def cross_links(texts: list[bytes], classes_: list[bytes], n_left: int, p: NearP
     start, whole = np.searchsorted(docs, np.arange(n + 1)), np.bincount(docs, w, n)
     root = np.unique(np.array([c.hex() for c in classes_]), return_inverse=True)[1]
     one, found = np.zeros(len(vocab)), []
-    for i in range(n_left):
-        low = i + 1 if n_left == n else n_left
-        if (root[low:] == root[i]).all():
+    two, right = n_left < n, np.arange(n) >= n_left
+    open_ = np.ones(n, bool)
+    for i in np.argsort(np.bincount(root)[root], kind="stable").tolist():
+        open_[i] = False
+        tried = open_ & (root != root[i])
+        if two:
+            tried &= right != right[i]
+        js = np.flatnonzero(tried)
+        js = js[~(bands[js, :band] == bands[i, :band]).any(1)] if band else js
+        if not len(js):
             continue
-        mine, rest = slice(start[i], start[i + 1]), slice(start[low], None)
+        mine, sizes = slice(start[i], start[i + 1]), start[js + 1] - start[js]
+        rest = np.repeat(start[js] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         one[at[mine]] = w[mine]
         x = one[at[rest]]
+        one[at[mine]] = 0
         hit = np.flatnonzero(x)
-        x, y, j = x[hit], w[rest][hit], docs[rest][hit] - low
-        least, xs, ys = (np.bincount(j, v, n - low) for v in (np.minimum(x, y), x, y))
+        x, y, j = x[hit], w[rest[hit]], np.repeat(np.arange(len(js)), sizes)[hit]
+        least, xs, ys = (np.bincount(j, v, len(js)) for v in (np.minimum(x, y), x, y))
         shared = np.where(x == y, least[j] / x, np.minimum(xs[j] / x, ys[j] / y))
-        bound = np.bincount(j, 1 / (whole[i] / x + whole[low:][j] / y - shared), n - low)
-        one[at[mine]] = 0
-        for k in np.flatnonzero(bound >= p.similarity - 1e-9) + low:
+        bound = np.bincount(j, 1 / (whole[i] / x + whole[js][j] / y - shared), len(js))
+        for k in js[bound >= p.similarity - 1e-9].tolist():
             other = slice(start[k], start[k + 1])
             if root[k] != root[i] and similarity((e[mine], w[mine]), (e[other], w[other])) >= p.similarity:
-                found.append((i, int(k)))
+                found.append((i, k))
                 root[root == root[k]] = root[i]
     return found
 
 
 def blocks_of(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(task, second, tk, label): for each two blocks of a bucket that hold different classes, their members.
+    """(task, second, band, tk, label): for each two blocks of a bucket that hold different classes, their members.
 
     A class larger than a block has blocks of its own, never compared with one another;
-    the others share blocks. Buckets of the same members are compared once.
+    the others share blocks. Buckets of the same members are compared once, in that of
+    the first band.
     """
     twin = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("tk")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "tk")).alias("y")]
-    once = mixed.groupBy("bucket").agg(*twin).groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    once = mixed.groupBy("bucket", "band").agg(*twin).groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.bucket")
     sized = mixed.join(once, "bucket").join(texts.select("tk", F.octet_length("text").alias("size")), "tk")
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_BYTES), F.lit(1).cast("long"))
     sums = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")]
@@ -270,22 +281,25 @@ def blocks_of(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     own = F.col("parts") > 1
     owner = F.when(own, F.col("label")).otherwise(F.unhex(F.lit("")))
     slice_ = F.when(own, F.pmod(F.xxhash64("bucket", "tk"), "parts")).otherwise(F.pmod(F.xxhash64("bucket", "label"), "pool"))
-    placed = saved(sized.join(cut, ["bucket", "label"]).select("bucket", "tk", "label", F.struct(owner.alias("owner"), slice_.alias("slice")).alias("block")), "blocks")
+    placed = saved(sized.join(cut, ["bucket", "label"]).select("bucket", "band", "tk", "label", F.struct(owner.alias("owner"), slice_.alias("slice")).alias("block")), "blocks")
     blocks = placed.select("bucket", "block").distinct()
     two = blocks.withColumnRenamed("block", "l").join(blocks.withColumnRenamed("block", "r"), "bucket")
     two = two.filter("l <= r AND (l.owner <> r.owner OR l.owner = X'')")
     name = F.concat_ws("-", "bucket", F.hex("l.owner"), "l.slice", F.hex("r.owner"), "r.slice")
     sides = F.array_distinct(F.array("l", "r"))
     task = two.select("bucket", F.unhex(F.md5(name.cast("binary"))).alias("task"), F.posexplode(sides).alias("second", "block"))
-    return task.join(placed, ["bucket", "block"]).select("task", "second", "tk", "label")
+    dealt = task.join(placed, ["bucket", "block"]).select("task", "second", "band", "tk", "label")
+    dealt._vecspark_path = placed._vecspark_path
+    return dealt
 
 
 def untried(members: DataFrame, labels: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     """Saved (a, b): links found among all pairs of different classes that share a bucket."""
 
     def compared(rows: list[tuple]) -> pa.RecordBatch | None:
-        tks, n_left = [r[2] for r in rows], sum(r[1] == 0 for r in rows)
-        found = cross_links([r[4] for r in rows], [r[3] for r in rows], n_left, p)
+        tks, n_left = [r[3] for r in rows], sum(r[1] == 0 for r in rows)
+        bands = np.frombuffer(b"".join(r[5] for r in rows), "<u8").reshape(len(rows), -1)
+        found = cross_links([r[6] for r in rows], [r[4] for r in rows], bands, rows[0][2], n_left, p)
         if not found:
             return None
         return pa.record_batch([pa.array([max(tks[i], tks[k]) for i, k in found], pa.binary()), pa.array([min(tks[i], tks[k]) for i, k in found], pa.binary())], names=["a", "b"])
@@ -294,34 +308,40 @@ def untried(members: DataFrame, labels: DataFrame, texts: DataFrame, p: NearPara
         enter(f"{__name__}.untried")
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), raw(batch.column(4))):
-                if rows and rows[0][0] != row[0]:
-                    out, rows = compared(rows), []
-                    if out is not None:
-                        yield out
-                rows.append(row)
-            trim()
+            for some in pieces(batch):
+                for row in zip(*(some.column(i).to_pylist() for i in range(6)), raw(some.column(6))):
+                    if rows and rows[0][0] != row[0]:
+                        out, rows = compared(rows), []
+                        if out is not None:
+                            yield out
+                    rows.append(row)
         out = compared(rows) if rows else None
         if out is not None:
             yield out
 
     mixed = saved(still_mixed(members, labels), "mixed")
-    dealt = blocks_of(mixed, texts).join(texts, "tk").select("task", "second", "tk", "label", "text")
+    blocks = blocks_of(mixed, texts)
+    dealt = blocks.join(texts, "tk").select("task", "second", "band", "tk", "label", "bands", "text")
     out = saved(dealt.repartition("task").sortWithinPartitions("task", "second", "tk").mapInArrow(run, "a binary, b binary").distinct(), "untried")
-    release(mixed)
+    release(mixed, blocks)
     return out
 
 
 def links(kd: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
-    """(a, b): verified links that connect each class."""
+    """Saved (a, b): verified links that connect each class."""
     members = saved(members_of(reps, p), "buckets")
-    texts = saved(texts_of(kd, reps.join(members.select("tk").distinct(), "tk").select("tk", "rep_id")), "texts")
-    first = verified(star(members, p), texts, p)
-    second = verified(chain(members, components(first), p), texts, p)
-    tried = first.unionByName(second).distinct()
-    third = untried(members, components(tried), texts, p)
-    release(members, texts)
-    return tried.unionByName(third).distinct()
+    texts = saved(texts_of(kd, reps.join(members.select("tk").distinct(), "tk").select("tk", "rep_id", "bands"), "bands"), "texts")
+    first = verified(star(members), texts, p)
+    labels = components(first)
+    second = verified(chain(members, labels, p), texts, p)
+    release(labels)
+    tried = saved(first.unionByName(second).distinct(), "tried")
+    release(first, second)
+    labels = components(tried)
+    third = untried(members, labels, texts, p)
+    out = saved(tried.unionByName(third).distinct(), "links")
+    release(members, texts, labels, tried, third)
+    return out
 
 
 def text_classes(docs: DataFrame, p: NearParams, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -332,13 +352,15 @@ def text_classes(docs: DataFrame, p: NearParams, id_col: str = "doc_id", text_co
     kd = keyed(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     signed_ = signed_bands(kd, p)
     reps = saved(signed_.groupBy("tk").agg(F.min("id").alias("rep_id"), F.first("bands").alias("bands")), "signatures")
-    found = saved(links(kd, reps, p), "links")
+    found = links(kd, reps, p)
     labels = components(found)
     degree = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = labels.join(degree, "node").withColumnRenamed("node", "tk")
     each = reps.select("tk", "rep_id").join(linked, "tk", "left").select("tk", "rep_id", F.coalesce("label", "tk").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = each.groupBy("label").agg(F.min("rep_id").alias("class_id"))
-    return kd, each.join(ids, "label")
+    out = saved(each.join(ids, "label"), "classes")
+    release(reps, found, labels)
+    return kd, out
 
 
 def classes(docs: DataFrame, params: NearParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +377,8 @@ def one_of_each(docs: DataFrame, params: NearParams | None = None, id_col: str =
     """
     _, each = text_classes(docs, params or NearParams(), id_col, text_col)
     best = each.groupBy("label").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "tk")).alias("best"))
-    stay = best.select(row_key(F.col("best.rep_id"), F.col("best.tk")).alias("__k"))
+    key = unused(docs, "key")
+    stay = best.select(row_key(F.col("best.rep_id"), F.col("best.tk")).alias(key))
     text = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.withColumn("__k", row_key(F.col(id_col).cast("long"), text)).join(stay, "__k")
-    return rows.dropDuplicates(["__k"]).select(*docs.columns)
+    rows = docs.withColumn(key, row_key(F.col(id_col).cast("long"), text)).join(stay, key)
+    return rows.dropDuplicates([key]).select(*docs.columns)

@@ -38,7 +38,7 @@ import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import arrow_map, filesystem, keyed, raw, release, representatives, saved, scratch, texts_of
+from vecspark.llm._shared import arrow_map, filesystem, keyed, pieces, raw, release, representatives, saved, scratch, texts_of
 from vecspark.llm._shared import remove as remove_folder
 from vecspark.llm._words import chunks, rolling, signed, within, word_hashes
 
@@ -156,7 +156,7 @@ def occurrences(needed: DataFrame, folder: str, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = Automata(folder)
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             out = []
             for shard, words in zip(batch.column(0).to_pylist(), _texts(batch, 2)):
                 a = automata.get(shard)
