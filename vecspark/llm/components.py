@@ -25,14 +25,29 @@ def components(links: DataFrame) -> DataFrame:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         least = both.join(seen, "b").groupBy("a").agg(F.min("near").alias("near"))
         taken = labels.join(least, labels["node"] == least["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        taken = saved(taken, "taken")
-        up = taken.filter("label <> node").select(F.col("node").alias("up"), F.col("label").alias("upper"))
-        moves = taken.select(F.col("label").alias("at")).distinct().join(up, F.col("at") == F.col("up")).select("at", "upper")
+        up = labels.filter("label <> node").select(F.col("node").alias("at"), F.col("label").alias("upper"))
+        moves = labels.select(F.col("label").alias("at")).distinct().join(up, "at")
         jumped = taken.join(moves, taken["label"] == moves["at"], "left").select("node", "old", F.least("label", "upper").alias("label"))
         done = saved(jumped, "labels")
-        release(labels, taken)
+        release(labels)
         labels = done.select("node", "label")
         labels._vecspark_path = done._vecspark_path
         if done.filter("old <> label").isEmpty():
             release(both)
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Saved `labels` (node, label) after more links (a, b) between its nodes.
+
+    Classes count as one node each, so only the links and the classes they join are
+    worked on; the old labels are deleted.
+    """
+    if links.isEmpty():
+        return labels
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    top = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    into = top.select(F.col("node").alias("label"), F.col("label").alias("into"))
+    out = saved(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+    release(labels, top)
+    return out

@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm._shared import arrow_map, enter, keyed, pieces, raw, release, row_key, saved, texts_of, unused
 from vecspark.llm._words import MIX, chunks, mix64, rolling, signed, within, word_hashes
-from vecspark.llm.components import components
+from vecspark.llm.components import components, joined
 
 RESULT = "doc_id long, class_id long, n_links long, representative boolean"
 #: About as many texts, or bytes of them, make a block of the last pass.
@@ -172,7 +173,7 @@ def star(members: DataFrame) -> DataFrame:
 
 def still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, band, tk, k, label): the members of buckets that still hold two classes."""
-    named = members.join(labels.select(F.col("node").alias("tk"), "label"), "tk", "left").select("bucket", "band", "tk", "k", F.coalesce("label", "tk").alias("label"))
+    named = members.join(labels.select(F.col("node").alias("tk"), "label"), "tk")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
     return named.join(mixed, "bucket")
 
@@ -320,6 +321,9 @@ def untried(members: DataFrame, labels: DataFrame, texts: DataFrame, p: NearPara
             yield out
 
     mixed = saved(still_mixed(members, labels), "mixed")
+    if mixed.isEmpty():
+        release(mixed)
+        return saved(members.select(F.col("tk").alias("a"), F.col("tk").alias("b")).filter("false"), "untried")
     blocks = blocks_of(mixed, texts)
     dealt = blocks.join(texts, "tk").select("task", "second", "band", "tk", "label", "bands", "text")
     out = saved(dealt.repartition("task").sortWithinPartitions("task", "second", "tk").mapInArrow(run, "a binary, b binary").distinct(), "untried")
@@ -327,39 +331,38 @@ def untried(members: DataFrame, labels: DataFrame, texts: DataFrame, p: NearPara
     return out
 
 
-def links(kd: DataFrame, reps: DataFrame, p: NearParams) -> DataFrame:
-    """Saved (a, b): verified links that connect each class."""
+def links(kd: DataFrame, reps: DataFrame, p: NearParams) -> tuple[list[DataFrame], DataFrame]:
+    """Saved (a, b) of the three passes: verified links that connect each class; and (node, label) of all texts that share a bucket."""
     members = saved(members_of(reps, p), "buckets")
     texts = saved(texts_of(kd, reps.join(members.select("tk").distinct(), "tk").select("tk", "rep_id", "bands"), "bands"), "texts")
     first = verified(star(members), texts, p)
-    labels = components(first)
+    of_first = components(first)
+    labels = saved(texts.select(F.col("tk").alias("node")).join(of_first, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    release(of_first)
     second = verified(chain(members, labels, p), texts, p)
-    release(labels)
-    tried = saved(first.unionByName(second).distinct(), "tried")
-    release(first, second)
-    labels = components(tried)
+    labels = joined(labels, second)
     third = untried(members, labels, texts, p)
-    out = saved(tried.unionByName(third).distinct(), "links")
-    release(members, texts, labels, tried, third)
-    return out
+    labels = joined(labels, third)
+    release(members, texts)
+    return [first, second, third], labels
 
 
 def text_classes(docs: DataFrame, p: NearParams, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and (tk, rep_id, label, class_id, n_links) of each different text.
+    """The keyed documents, and saved (tk, rep_id, label, class_id, n_links) of each different text.
 
-    The label is the class's least text digest; class_id is the least id in the class.
+    The label is one of the class's text digests; class_id is the least id in the class.
     """
     kd = keyed(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     signed_ = signed_bands(kd, p)
     reps = saved(signed_.groupBy("tk").agg(F.min("id").alias("rep_id"), F.first("bands").alias("bands")), "signatures")
-    found = links(kd, reps, p)
-    labels = components(found)
-    degree = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = labels.join(degree, "node").withColumnRenamed("node", "tk")
+    found, labels = links(kd, reps, p)
+    ends = [x.select(F.col(side).alias("node")) for x in found for side in ("a", "b")]
+    degree = reduce(DataFrame.union, ends).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = labels.join(degree, "node", "left").withColumnRenamed("node", "tk")
     each = reps.select("tk", "rep_id").join(linked, "tk", "left").select("tk", "rep_id", F.coalesce("label", "tk").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = each.groupBy("label").agg(F.min("rep_id").alias("class_id"))
     out = saved(each.join(ids, "label"), "classes")
-    release(reps, found, labels)
+    release(reps, *found, labels)
     return kd, out
 
 
