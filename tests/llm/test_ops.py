@@ -89,6 +89,40 @@ def test_html_template_is_induced():
     assert all("Same banner text" in t and prose(0, 30) in t for t in html_extract.extract_block(copies, html_extract.WrapperParams()))
 
 
+def test_html_names_do_not_cut_articles():
+    whole = prose(1, 40)
+    one = lambda page: html_extract.extract_block([page], html_extract.WrapperParams())[0]
+    assert one(f'<body><nav><a>x</a></nav><article><p class="notice-period">{whole}</p><div class="related-work">{whole}</div><div class="ad">Buy</div></article></body>') == f"{whole}\n\n{whole}"
+    assert one(f'<main><p>{whole}</p><p>{whole}</p></main><article class="teaser"><p>More</p></article>') == f"{whole}\n\n{whole}"
+
+
+def test_html_deep_pages():
+    pages = [f"<body><nav><a>x</a></nav>{'<div>' * (1500 + 7 * i)}<p>{prose(i, 30)}</p><p>{prose(i + 9, 30)}</p>" for i in range(6)]
+    assert html_extract.extract_block(pages, html_extract.WrapperParams()) == [f"{prose(i, 30)}\n\n{prose(i + 9, 30)}" for i in range(6)]
+
+
+def test_induction_alone_finds_the_articles_of_sample_pages():
+    """All sample pages: with names, every article; with all names hidden, nearly every one, and fewer without induction."""
+    import pyarrow.parquet as pq
+
+    hosts = {}
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        hosts.setdefault(r["url"].split("/")[2], []).append(r["html"])
+    wants = {}
+    for host, pages in hosts.items():
+        for page in pages:
+            inner = re.sub(r"<(?!/?(?:h1|p|li|br)\b)[^>]*>", "", re.search(r"(?s)<article>(.*?)(?:</article>|\Z)", page)[1])
+            inner = re.sub(r"<[^>]*\Z", "", inner)
+            lines = [html_extract._html.unescape(re.sub(r"<br[^>]*>", " ", x)) for x in re.split(r"</?(?:h1|p|li)\b[^>]*>", inner)]
+            wants[page] = "\n\n".join(" ".join(x.split()) for x in lines if x.split())
+    right = {}
+    for mode in ({}, {"names": False}, {"names": False, "least_pages": 10**9}):
+        p = html_extract.WrapperParams(**mode)
+        right[len(mode)] = sum(t == wants[x] for pages in hosts.values() if len(pages) >= 4 for x, t in zip(pages, html_extract.extract_block(pages, p)))
+    many = sum(len(pages) for pages in hosts.values() if len(pages) >= 4)
+    assert right[0] == many and right[1] >= 0.95 * many and right[2] < right[1]
+
+
 def test_simple_tree_matching_is_the_best_alignment():
     def brute(a, b):
         if a.key != b.key:
