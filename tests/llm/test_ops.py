@@ -178,6 +178,26 @@ def test_quality_separates_and_ignores_labels_of_the_fold(spark, awkward):
 # 3
 
 
+def test_quality_of_real_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.scores(docs, quality.fit(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.quality for r in got]) >= 0.95
+
+
+def test_repeats_do_not_fill_the_quality_sample(spark):
+    rows = [(1, "same text of a row")] * 3000 + [(i, prose(i, 30)) for i in range(2, 60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, 0) for i in range(2, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    import vecspark.llm.quality as q
+
+    rows_, q._rows = q._rows, lambda df: seen.append(df.count()) or rows_(df)
+    try:
+        q.fit(docs, labels)
+    finally:
+        q._rows = rows_
+    assert seen[0] <= 59
+
+
 def test_neighbours_equal_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(1500, 8)).astype(np.float32)
@@ -438,6 +458,48 @@ def test_personal_data(spark, small, awkward):
     assert pii.fit(awkward.filter("doc_id = 4")) is None
 
 
+def test_viterbi_is_the_best_path():
+    from itertools import product
+
+    tagger = pii.Tagger.fresh(4)
+    r = np.random.default_rng(4)
+    tagger.w["trans"] = r.normal(0, 1, tagger.w["trans"].shape)
+    x = r.integers(1, 20, (3, 4))
+    e, _ = tagger.emissions(x)
+    for row, tags in zip(e, tagger.decode(x)):
+        score = lambda p: tagger.w["start"][p[0]] + row[0, p[0]] + sum(tagger.w["trans"][a, b] + row[t + 1, b] for t, (a, b) in enumerate(zip(p, p[1:])))  # noqa: B023, E731
+        paths = list(product(range(pii.TAGS), repeat=4))
+        assert max(paths, key=score) == tuple(tags.tolist())
+        logz = np.log(sum(np.exp(score(p)) for p in paths))
+        y = np.array([tags])
+        one = x[[i for i in range(3) if np.array_equal(e[i], row)][:1]]
+        assert abs(tagger.gradient(one, y)[0] - (logz - score(tuple(tags.tolist())))) < 1e-9
+
+
+def test_the_model_finds_forms_that_the_patterns_miss(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tagger = pii.fit(docs)
+    r, texts, want = np.random.default_rng(9), [], []
+    kinds = {"email": lambda: f"{WORDS[r.integers(400)]}.{WORDS[r.integers(400)]}@host{r.integers(99)}.org", "card": lambda: "4532015112830366", "ip": lambda: ".".join(map(str, r.integers(1, 255, 4)))}
+    for row in docs.filter("length(text) > 400 AND NOT text RLIKE '[0-9@]'").orderBy("doc_id").limit(200).collect():
+        kind = ("email", "card", "ip")[r.integers(3)]
+        new = pii.variants(kind, kinds[kind](), r)
+        at = row.text.find(" ", 200) + 1
+        texts.append(row.text[:at] + new + " " + row.text[at:])
+        want.append((kind, at, at + len(new)))
+    got = pii.find(texts, tagger)
+    caught = sum(any(k == w[0] and a < w[2] and w[1] < e for k, a, e in spans) for w, (_, spans) in zip(want, got))
+    extra = sum(not (a < w[2] and w[1] < e) for w, (_, spans) in zip(want, got) for _, a, e in spans)
+    assert len(want) > 50 and caught >= 0.6 * len(want) and extra <= 0.05 * len(want)
+
+
+def test_long_addresses_and_long_numbers():
+    assert pii.base("0000000000000000000001.1.1.1 " + "9" * 5000 + ".1.1.1") == [("ip", 0, 28)]
+    name = "n" * 100
+    a, b = pii.regions("x " * 50 + name + " @ " + "h" * 120 + ".org and")[0]
+    assert b - a >= 100 + 3 + 124
+
+
 def test_windows_are_reconciled():
     regs = [(0, 200)]
     wins = pii.windows(regs)
@@ -519,6 +581,21 @@ def test_every_capacity_binds(rule):
     for b in range(bins.max() + 1):
         some = lengths[bins == b]
         assert len(some) <= 2 and some.sum() <= 2048 and (some.astype(float) ** 2).sum() <= 2048**2
+    cheap = packing.PackParams(attention=500_000, rule=rule)
+    bins, _ = packing.best_fit(lengths, cheap)
+    cost = np.bincount(bins, lengths.astype(float) ** 2)
+    assert ((cost <= 500_000) | (np.bincount(bins) == 1)).all() and (np.bincount(bins) > 1).any() and bins.max() + 1 > lengths.sum() / 2048 * 1.5
+    plain, left = [], []  # best fit on tokens alone, bin by bin
+    for i in np.argsort(-lengths, kind="stable"):
+        at = min((x for x in range(len(left)) if left[x] >= lengths[i]), key=lambda x: (left[x], x), default=None)
+        if at is None:
+            at = len(left)
+            left.append(2048)
+        left[at] -= lengths[i]
+        plain.append((i, at))
+    if rule == "norm":
+        only = packing.PackParams(weights=(1.0, 0.0, 0.0))
+        assert packing.best_fit(lengths, only)[0].tolist() == [at for _, at in sorted(plain)]
     with pytest.raises(ValueError):
         packing.PackParams(rule="worst")
 
@@ -543,6 +620,17 @@ def test_token_shards_round_trip(spark, awkward):
     assert tokenbin.write_and_read(awkward.filter("false")).count() == 0
 
 
+def test_rows_by_key(awkward):
+    folder = tokenbin.scratch(awkward.sparkSession, "token-ids")
+    manifest = tokenbin.write(awkward, folder)
+    enc = _tokens.Encoder(_tokens.tokenizer_path("byte_bpe_50k.json"))
+    want = {}
+    for r in awkward.collect():
+        want.setdefault(r.doc_id, []).append([*enc.tok.encode(r.text or "", add_special_tokens=False).ids, 2])
+    for key in [*want, -1, 10**12]:
+        assert sorted(x.tolist() for x in tokenbin.rows_of(manifest, key)) == sorted(want.get(key, []))
+
+
 def test_keyed_access(tmp_path):
     r = np.random.default_rng(6)
     ids = sorted(r.choice(10**9, 3000, replace=False).tolist())
@@ -552,7 +640,7 @@ def test_keyed_access(tmp_path):
     shard = tokenbin.Shard(file)
     assert all(shard.get(i).tolist() == d.tolist() for i, d in zip(ids, docs))
     h = tokenbin.key_hash(np.array(ids), np.zeros(3000, bool), np.zeros(3000, np.int64))
-    assert sorted(shard.mph.slots(h).tolist()) == list(range(3000))  # minimal and perfect
+    assert sorted(shard.slot(h[i : i + 1]) for i in range(3000)) == list(range(3000))  # minimal and perfect
     assert not any(shard.get(int(x)) is not None for x in set(r.integers(10**9, 2 * 10**9, 500).tolist()))
 
 

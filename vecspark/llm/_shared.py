@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -35,9 +37,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Scratch folders not deleted yet; what a returned frame still reads goes when the driver ends.
+_FOLDERS: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh, unused folder name in the shared folder."""
-    return f"{shared_root(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.add(folder)
+    return folder
+
+
+@atexit.register
+def _clear() -> None:
+    for folder in list(_FOLDERS):
+        with contextlib.suppress(OSError):
+            remove(folder)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -71,6 +86,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def remove(uri: str) -> None:
     """Delete a scratch folder, if it is there."""
+    _FOLDERS.discard(uri)
     fs, path = filesystem(uri)
     if fs.get_file_info(path).type == pafs.FileType.Directory:
         fs.delete_dir(path)

@@ -1,16 +1,17 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 Every document is cut into pieces of at most the token capacity. Pieces are dealt
-by a hash into groups of about `group_docs` documents each, and every group is
-packed on its own, so memory is bounded and the result does not depend on the
-number of executors; what grouping costs is at most the last bin of each group.
+by a hash, of themselves and their row's place, into groups of about `group_docs`
+documents each, and every group is packed on its own, so memory is bounded however
+often a row repeats; what grouping costs is at most the last bin of each group.
 
 Inside a group the pieces go, longest first, each into the open bin that a vector
 best-fit rule selects: of the bins whose residual token, document-count and
 attention-cost capacities all hold the piece, the one whose weighted residual norm
 would be least ("norm") or whose residual has the largest weighted dot product with
 the piece ("dot"). Attention cost is the sum of squared piece lengths. Ties go to
-the oldest bin.
+the oldest bin. A piece that alone costs more than the attention capacity has a
+sequence to itself.
 
 Defined cases: null and empty texts are documents of one end id; repeated rows are
 packed as often as they occur; a null doc_id stays null; an empty table gives an
@@ -38,8 +39,9 @@ PACKED = PIECES + ", sequence_id long, offset long"
 class PackParams:
     """Capacities of a sequence, and how a bin is selected.
 
-    With the default document and attention capacities only tokens bind: a piece
-    has a token at least, and a sum of squares is at most the squared sum.
+    With the default document and attention capacities, which the registered query and
+    the pipeline have, only tokens bind: a piece has a token at least, and a sum of
+    squares is at most the squared sum.
     """
 
     tokens: int = 2048
@@ -52,8 +54,6 @@ class PackParams:
     def __post_init__(self):
         if self.rule not in ("norm", "dot"):
             raise ValueError(f"unknown rule {self.rule!r}")
-        if self.attention is not None and self.attention < self.tokens**2:
-            raise ValueError("a full piece must fit into an empty sequence")
 
     @property
     def capacity(self) -> np.ndarray:
@@ -111,7 +111,8 @@ def pack_pieces(pieces: DataFrame, groups: int, p: PackParams) -> DataFrame:
         bins, offsets = best_fit(pdf["length"].to_numpy(), p)
         return pdf.drop(columns="g").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    g = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    # The place tells repeated rows apart: no group gets all copies of one.
+    g = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     return pieces.withColumn("g", g).groupBy("g").applyInPandas(run, PACKED)
 
 

@@ -35,8 +35,10 @@ from vecspark.llm._shared import arrow_map, spread
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # 0 is O, 1 + 2k is B and 2 + 2k is I of kind k
-#: Most documents the labelled spans are taken from.
-TRAIN_DOCS = 600
+#: Most documents the labelled spans are taken from, and most surroundings of each, those of least hash.
+TRAIN_DOCS, TRAIN_PLACES = 600, 8
+#: An address has 254 characters at most, so a region reaches no further along one.
+ADDRESS = 254
 WINDOW, OVERLAP, REACH = 64, 24, 20
 HIDDEN, EMBED, SHAPES = 20, 12, 40
 
@@ -63,7 +65,8 @@ def digits_of(s: str) -> str:
 
 
 def good_ip(s: str) -> bool:
-    return all(len(x) < 20 and int(x) <= 255 for x in s.split("."))
+    parts = [x.lstrip("0") or "0" for x in s.split(".")]
+    return all(len(x) < 4 and int(x) <= 255 for x in parts)
 
 
 def good_card(s: str) -> bool:
@@ -119,7 +122,6 @@ def codes(text: str) -> np.ndarray:
     out[(c >= 48) & (c <= 57)] = 4
     out[c == 32] = 5
     out[(c == 10) | (c == 13) | (c == 9)] = 6
-    out[c == ord("4")] = 7
     return out
 
 
@@ -289,15 +291,17 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", steps: int = 260, seed: int = 5) -> Tagger | None:
-    """Train on the base spans of at most TRAIN_DOCS documents of `docs`.
+    """Train on the base spans of at most TRAIN_PLACES surroundings in at most TRAIN_DOCS documents of `docs`.
 
-    The sample is the documents with a digit or "@" whose text has the least hash;
-    short surroundings of the spans are all that is kept of them. None: no span.
+    The sample is the documents with a digit or "@" whose text has the least hash, and
+    of each the surroundings of digits and "@" signs of least hash. None: no span.
     """
     text = F.col(text_col).cast("string")
     some = docs.filter(text.rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), text.alias("t"))
     picked = [r.h for r in some.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).collect()]
-    near = F.slice(F.regexp_extract_all("t", F.lit(rf"(?s).{{0,{WINDOW}}}[0-9@].{{0,{2 * WINDOW}}}"), F.lit(0)), 1, 8)
+    places = F.regexp_extract_all("t", F.lit(rf"(?s).{{0,{WINDOW}}}[0-9@].{{0,{2 * WINDOW}}}"), F.lit(0))
+    hashed = F.array_sort(F.transform(places, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
+    near = F.transform(F.slice(hashed, 1, TRAIN_PLACES), lambda x: x["x"])
     found = some.filter(F.col("h").isin(picked)).select("h", near.alias("near")).dropDuplicates(["h"])
     rows = sorted(found.collect(), key=lambda r: r.h) if picked else []
     x, y = examples([t for r in rows for t in r.near], seed)
@@ -309,12 +313,20 @@ def fit(docs: DataFrame, text_col: str = "text", steps: int = 260, seed: int = 5
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches about digits and "@" signs, merged."""
+    """Stretches about digits and "@" signs, to the ends of the words or addresses they cut, merged."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.start() + REACH)
+        at = m.start()
+        if out and at + REACH <= out[-1][1]:
+            continue
+        a, b = max(0, at - REACH), min(len(text), at + REACH)
+        least, most = max(0, at - ADDRESS), min(len(text), at + ADDRESS)
+        while a > least and not _NOT_LOCAL.match(text[a - 1]):
+            a -= 1
+        while b < most and not _NOT_LOCAL.match(text[b]):
+            b += 1
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [tuple(x) for x in out]

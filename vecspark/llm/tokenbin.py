@@ -3,9 +3,15 @@
 Documents are range-partitioned and sorted by id. Each partition becomes one shard
 file: a header, the raw little-endian ids of its documents one after the other, and
 an index. The index is a minimal perfect hash of the document keys in levels of bit
-arrays (a key that collides in a level moves to the next), whose rank is a slot; the
-slot holds a stored fingerprint of the key and the document's place in the payload.
-A lookup costs a constant number of reads whatever the number of documents.
+arrays (a key that collides in a level moves to the next); each word of a level stands
+beside the number of bits before it, so one read of 16 bytes a level gives a key's
+slot. The slot holds a stored fingerprint of the key and the document's place in the
+payload. Opening a shard reads its header, and a lookup two levels on average, a slot
+and the ids, whatever the number of documents. The manifest has the least and greatest
+id of each shard, which maps a key to its shards.
+
+The document ids stand behind the index for readers of a whole shard; keyed access
+does not read them.
 
 The writer names files by partition and attempt and returns a manifest; a file of a
 lost or repeated attempt is in no manifest. All access is through Arrow file systems,
@@ -18,6 +24,7 @@ an empty table gives an empty manifest; other input columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import struct
 from collections.abc import Iterator
 
@@ -27,16 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm._shared import enter, filesystem, scratch
+from vecspark.llm._shared import enter, filesystem, pieces, scratch
 from vecspark.llm._tokens import crc, encoder, tokenizer_path
 from vecspark.llm._words import MIX, mix64
 
-MAGIC = b"VSTOKEN1"
-#: magic, bytes an id, documents, ids, bytes of payload, hash levels
-HEADER = struct.Struct("<8sIQQQI")
+MAGIC = b"VSTOKEN2"
+#: magic, bytes an id, documents, ids, hash levels; the levels' words follow
+HEADER = struct.Struct("<8sIQQI")
+SLOT = np.dtype([("print", "<u4"), ("start", "<u8"), ("count", "<u4")])
+RANKED = np.dtype([("rank", "<u8"), ("bits", "<u8")])
 #: Bits of a level for each key that is left.
 GAMMA = 2.0
-MANIFEST = "shard int, file string, docs long, tokens long"
+MANIFEST = "shard int, file string, docs long, tokens long, least long, greatest long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -107,33 +116,68 @@ class Shard:
     def __init__(self, uri: str):
         fs, path = filesystem(uri)
         self.file = fs.open_input_file(path)
-        magic, self.width, n, self.tokens, payload, levels = HEADER.unpack(self.file.read(HEADER.size))
+        magic, self.width, self.docs, self.tokens, levels = HEADER.unpack(self.file.read(HEADER.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token shard")
-        self.file.seek(HEADER.size + payload)
-        take = lambda kind, k: np.frombuffer(self.file.read(np.dtype(kind).itemsize * k), kind)
-        self.ids, self.nulls = take("<i8", n), take("u1", n).astype(bool)
-        self.prints, self.starts, self.counts = take("<u4", n), take("<u8", n).astype(np.int64), take("<u4", n).astype(np.int64)
-        sizes = take("<u8", levels)
-        self.mph = PerfectHash([take("u1", int(s)) for s in sizes])
-
-    def find(self, ids: np.ndarray, nulls: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
-        """Slots of keys, -1 for keys that are not here."""
-        h = key_hash(ids, nulls, occurrence)
-        slots = self.mph.slots(h)
-        good = slots >= 0
-        good[good] = self.prints[slots[good]] == fingerprint(h[good])
-        return np.where(good, slots, -1)
-
-    def read(self, slot: int) -> np.ndarray:
-        self.file.seek(HEADER.size + int(self.starts[slot]) * self.width)
-        raw = self.file.read(int(self.counts[slot]) * self.width)
-        return np.frombuffer(raw, f"<u{self.width}")
+        self.sizes = np.frombuffer(self.file.read(8 * levels), "<u8").astype(np.int64)
+        self.payload = HEADER.size + 8 * levels
+        self.slots = self.payload + self.tokens * self.width
+        self.levels = self.slots + self.docs * SLOT.itemsize
+        self.keys = self.levels + int(self.sizes.sum()) * RANKED.itemsize
+
+    def _take(self, at: int, kind, n: int) -> np.ndarray:
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(np.dtype(kind).itemsize * n), kind)
+
+    def slot(self, h: np.ndarray) -> int:
+        """Slot of one key hash, by a read a level; -1 for some keys that were not built in."""
+        base = self.levels
+        for level, words in enumerate(self.sizes.tolist()):
+            at = int(_level(h, level, words * 64)[0])
+            word = self._take(base + (at >> 6) * RANKED.itemsize, RANKED, 1)[0]
+            bits, bit = int(word["bits"]), at & 63
+            if bits >> bit & 1:
+                return int(word["rank"]) + (bits & ((1 << bit) - 1)).bit_count()
+            base += words * RANKED.itemsize
+        return -1
+
+    def ids(self, place: np.void) -> np.ndarray:
+        """The ids at the place that a slot names."""
+        return self._take(self.payload + int(place["start"]) * self.width, f"<u{self.width}", int(place["count"]))
 
     def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
         """Ids of one document, or None."""
-        slot = self.find(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([occurrence]))[0]
-        return None if slot < 0 else self.read(slot)
+        h = key_hash(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([occurrence]))
+        slot = self.slot(h)
+        if slot < 0:
+            return None
+        place = self._take(self.slots + slot * SLOT.itemsize, SLOT, 1)[0]
+        return self.ids(place) if place["print"] == fingerprint(h)[0] else None
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all documents in order: id, whether it is null, and place, found through the index."""
+        ids, nulls = self._take(self.keys, "<i8", self.docs), self._take(self.keys + 8 * self.docs, "u1", self.docs).astype(bool)
+        words = self._take(self.levels, RANKED, int(self.sizes.sum()))["bits"]
+        mph = PerfectHash([np.ascontiguousarray(x).view(np.uint8) for x in np.split(words, np.cumsum(self.sizes)[:-1])])
+        h = key_hash(ids, nulls, occurrences(ids, nulls))
+        slots, places = mph.slots(h), self._take(self.slots, SLOT, self.docs)
+        if (slots < 0).any() or (places["print"][slots] != fingerprint(h)).any():
+            raise ValueError("a key of the shard is not in its index")
+        return ids, nulls, places[slots]
+
+
+def rows_of(manifest: list[tuple], doc_id: int | None) -> list[np.ndarray]:
+    """Ids of every row of a document id: its shards by the manifest, its places by their index."""
+    key = lambda x: (x is not None, x or 0)  # noqa: E731  null ids are first
+    at = bisect.bisect_left(manifest, key(doc_id), key=lambda m: key(m[4]))
+    out = []
+    while at < len(manifest) and key(manifest[at][3]) <= key(doc_id):
+        shard, n = Shard(manifest[at][0]), 0
+        while (ids := shard.get(doc_id, n)) is not None:
+            out.append(ids)
+            n += 1
+        at += 1
+    return out
 
 
 def write_shard(uri: str, width: int, batches: Iterator[tuple[list, list[np.ndarray]]]) -> tuple[int, int]:
@@ -157,22 +201,28 @@ def write_shard(uri: str, width: int, batches: Iterator[tuple[list, list[np.ndar
     h = key_hash(ids, nulls, occurrences(ids, nulls))
     mph = PerfectHash.build(h)
     slot = mph.slots(h)
-    prints, starts, lengths = np.zeros(n, "<u4"), np.zeros(n, "<u8"), np.zeros(n, "<u4")
-    prints[slot], starts[slot], lengths[slot] = fingerprint(h), np.cumsum(count) - count, count
+    places = np.zeros(n, SLOT)
+    places["print"][slot], places["start"][slot], places["count"][slot] = fingerprint(h), np.cumsum(count) - count, count
+    levels = []
+    for bits, rank in zip(mph.levels, mph.ranks):
+        words = np.zeros(len(rank) - 1, RANKED)
+        words["rank"], words["bits"] = rank[:-1], bits.view(np.uint64)
+        levels.append(words)
     total = int(count.sum())
     with fs.open_output_stream(path) as out:
-        out.write(HEADER.pack(MAGIC, width, n, total, total * width, len(mph.levels)))
+        out.write(HEADER.pack(MAGIC, width, n, total, len(levels)))
+        out.write(np.array([len(x) for x in levels], "<u8").tobytes())
         with fs.open_input_file(path + ".payload") as side:
             while block := side.read(1 << 22):
                 out.write(block)
-        for part in (ids.astype("<i8"), nulls.astype("u1"), prints, starts, lengths, np.array([len(x) for x in mph.levels], "<u8"), *mph.levels):
+        for part in (places, *levels, ids.astype("<i8"), nulls.astype("u1")):
             out.write(part.tobytes())
     fs.delete_file(path + ".payload")
     return n, total
 
 
-def write(df: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
-    """Write every document; the manifest in id order: (file, documents, ids).
+def write(df: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+    """Write every document; the manifest in id order: (file, documents, ids, least id, greatest id).
 
     It has a row for each shard, so its size follows the number of partitions.
     """
@@ -186,45 +236,45 @@ def write(df: DataFrame, folder: str, tokenizer: str | None = None, end_id: int
         if first is None:
             return
 
+        ends = [first.column(0)[0].as_py()]
+
         def parts() -> Iterator[tuple[list, list[np.ndarray]]]:
-            for batch in (b for some in ([first], batches) for b in some if b.num_rows):
+            for batch in (x for some in ([first], batches) for b in some if b.num_rows for x in pieces(b)):
+                ends[1:] = [batch.column(0)[-1].as_py()]
                 texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
                 yield batch.column(0).to_pylist(), [np.append(x, end_id) for x in enc.encode_many(texts)]
 
         at = TaskContext.get()
         file = f"{folder}/shard-{at.partitionId():06d}-{at.taskAttemptId()}.ids"
         n, total = write_shard(file, width, parts())
-        yield pa.record_batch([pa.array([at.partitionId()], pa.int32()), pa.array([file]), pa.array([n]), pa.array([total])], names=["shard", "file", "docs", "tokens"])
+        yield pa.record_batch([pa.array([at.partitionId()], pa.int32()), pa.array([file]), pa.array([n]), pa.array([total]), *(pa.array([x], pa.int64()) for x in ends)], names=["shard", "file", "docs", "tokens", "least", "greatest"])
 
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ranged = docs.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
     rows = ranged.mapInArrow(run, MANIFEST).collect()
-    return [(r.file, r.docs, r.tokens) for r in sorted(rows, key=lambda r: r.shard)]
+    return [(r.file, r.docs, r.tokens, r.least, r.greatest) for r in sorted(rows, key=lambda r: r.shard)]
 
 
-def read(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> DataFrame:
+def read(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
     """Every document, looked up by its key through the index: RESULT columns."""
     rows, base = [], 0
-    for file, docs, tokens in manifest:
+    for file, docs, tokens, *_ in manifest:
         rows.append((file, base, docs, tokens))
         base += tokens
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             shard = Shard(file)
-            occurrence = occurrences(shard.ids, shard.nulls)
-            for a in range(0, len(shard.ids), 20_000):
+            ids, nulls, places = shard.documents()
+            for a in range(0, len(ids), 20_000):
                 cut = slice(a, a + 20_000)
-                slots = shard.find(shard.ids[cut], shard.nulls[cut], occurrence[cut])
-                if (slots < 0).any():
-                    raise ValueError(f"{file}: a key of the shard is not in its index")
                 yield pa.record_batch(
                     [
-                        pa.array(shard.ids[cut], pa.int64(), mask=shard.nulls[cut]),
-                        pa.array(base + shard.starts[slots]),
-                        pa.array(shard.counts[slots]),
-                        pa.array([crc(shard.read(s)) for s in slots], pa.int64()),
+                        pa.array(ids[cut], pa.int64(), mask=nulls[cut]),
+                        pa.array(base + places["start"][cut].astype(np.int64)),
+                        pa.array(places["count"][cut].astype(np.int64)),
+                        pa.array([crc(shard.ids(x)) for x in places[cut]], pa.int64()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
