@@ -205,7 +205,7 @@ def test_neighbours_equal_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (9000, None), (9100, [0.0] * 8), (9200, [float("nan")] * 8), (9300, [1.0, None] * 4), (None, x[1].tolist()), (9400, [1.0]), (9500, [float("inf")] * 8)]
     df = table(spark, rows, "vec_id long, embedding array<float>")
     got = {}
-    for row in ann.search(df, "id % 100 = 0", ann.AnnParams(vectors_per_list=50, list_rows=100)).collect():
+    for row in ann.search(df, "id % 100 = 0", ann.AnnParams(vectors_per_list=50, list_rows=100, list_queries=4)).collect():
         got.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
     hits = total = 0
     y = x.astype(np.float64)
@@ -251,6 +251,23 @@ def test_archives_give_pages_back(spark, monkeypatch):
     assert warc.write_and_read(pages.filter("false")).count() == 0
 
 
+def test_merge_passes_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FAN_IN", 2)
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    monkeypatch.setattr(warc, "INDEXED", 2)
+    folder, r, want, runs = warc.scratch(spark, "runs"), np.random.default_rng(1), [], []
+    for i in range(7):
+        entries = sorted([f"k{r.integers(30)}", f"{r.integers(10**6):014d}", int(r.integers(99)), "f", j, 1] for j in range(int(r.integers(0, 40))))
+        want += entries
+        runs.append(("f", f"{folder}/{i}.run", warc.write_run(f"{folder}/{i}.run", iter(entries))))
+    cuts = warc._cuts(spark, runs, 10)
+    assert len(cuts) > 4
+    ranges = warc._pass(spark, folder, [(0, len(cuts) - 1, [x for _, x, _ in runs])], cuts)
+    assert len(ranges) > 1 and all(len(x) == 4 for *_, x in ranges)  # seven runs, two at a time, in several ranges
+    got = sorted(warc.merge(spark, folder, runs, 10).collect(), key=lambda x: (x.part, x.pos))
+    assert [(x.urlkey, x.stamp, x.page_id, x.offset) for x in got] == [(*e[:3], e[4]) for e in sorted(want)]
+
+
 # 5
 
 

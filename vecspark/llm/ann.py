@@ -6,9 +6,14 @@ it is a boundary vector, in those of every other centroid whose distance is with
 `closure` of the nearest, up to `replicas` lists. A query finds its nearest centroids
 with a best-first search over an in-memory neighbour graph of the centroids, and
 keeps, by distance ratio, those not much farther than the nearest. A list longer than
-`list_rows` is split by a hash into parts that are searched apart, so a task's part is
-bounded whatever the list; queries meet lists by a shuffle on (list, part), with both
-sides spread, and each query keeps its best of every part before the last shuffle.
+`list_rows` is split by a hash into parts that are searched apart, and so are the
+queries of a list beyond `list_queries`, so a task's group is bounded whatever the list
+and however many ask it; both meet by a shuffle on (list, part, block of queries), and
+each query keeps its best of every part before the last shuffle.
+
+There is a list for each `vectors_per_list` vectors up to `max_lists`, which is what the
+driver can train and hold; beyond `max_lists` * `vectors_per_list` vectors lists grow
+with the input, and a fixed share of queries then costs work in its square.
 
 Equal vectors are searched once: of a vector that many rows hold only its least ids
 can be among the nearest (ties go to the smaller id), so `k` + 1 of them travel, and
@@ -30,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm._shared import arrow_map, saved
@@ -44,14 +49,16 @@ class AnnParams:
 
     k: int = 10
     sample: int = 20_000
+    sample_per_list: int = 8
     vectors_per_list: int = 200
-    max_lists: int = 2_048
+    max_lists: int = 16_384
     closure: float = 1.12
     replicas: int = 4
     probe_ratio: float = 1.35
     probes: int = 48
     beam: int = 96
     list_rows: int = 2_000
+    list_queries: int = 2_000
     iterations: int = 8
     seed: int = 3
 
@@ -61,6 +68,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def nearest(d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the least `n` of each row, in order."""
+    at = np.argpartition(d, n - 1, 1)[:, :n] if n < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), 1, kind="stable"), 1)
+
+
 def balanced_kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
     """Centroids whose lists are of like length: a penalty grows with a list's share."""
     r = np.random.default_rng(seed)
@@ -85,7 +98,7 @@ class CentroidGraph:
     def __init__(self, centroids: np.ndarray, degree: int = 24, seed: int = 3):
         self.c = centroids
         k = len(centroids)
-        near = np.concatenate([np.argsort(distances(centroids[i : i + 512], centroids), 1, kind="stable")[:, 1 : degree + 1] for i in range(0, k, 512)])
+        near = np.concatenate([nearest(distances(centroids[i : i + 512], centroids), degree + 1)[:, 1:] for i in range(0, k, 512)])
         links: list[set[int]] = [set(map(int, n)) for n in near]
         for i, n in enumerate(near):
             for j in n[: degree // 2]:
@@ -144,10 +157,11 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def train(vectors: DataFrame, n: int, p: AnnParams) -> CentroidGraph:
-    """Centroids from at most `sample` different vectors, those of least hash."""
-    rows = vectors.select("v", F.xxhash64("vk").alias("h")).orderBy("h").limit(p.sample).collect()
-    x = np.array([r.v for r in rows], np.float64)
-    k = int(np.clip(n // p.vectors_per_list, 1, min(p.max_lists, len(x))))
+    """Centroids from at most `sample`, or `sample_per_list` for each list, different vectors, those of least hash."""
+    k = int(np.clip(n // p.vectors_per_list, 1, p.max_lists))
+    rows = vectors.select("v", F.xxhash64("vk").alias("h")).orderBy("h").limit(max(p.sample, p.sample_per_list * k)).select("v").toArrow()
+    x = _matrix(rows.column(0).combine_chunks())
+    k = min(k, len(x))
     return CentroidGraph(balanced_kmeans(x, k, p.iterations, p.seed), seed=p.seed)
 
 
@@ -211,6 +225,13 @@ def scan_part(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"qk": qk, "vk": took["vk"].to_numpy(), "ids": took["ids"].to_numpy(), "score": score})
 
 
+def counted(most: dict[int, int]) -> Column:
+    """The number of each list in `most`, 1 for others; there are at most `max_lists`."""
+    if not most:
+        return F.lit(1)
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in most.items() for x in kv))[F.col("list")], F.lit(1))
+
+
 def search(df: DataFrame, query_of: str, params: AnnParams | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """RESULT columns: the nearest rows of each row for which the SQL condition `query_of` on `id` holds."""
     p = params or AnnParams()
@@ -223,18 +244,21 @@ def search(df: DataFrame, query_of: str, params: AnnParams | None = None, id_col
     graph = spark.sparkContext.broadcast(train(vectors, n, p))
     lists = saved(postings(vectors, graph, p), "postings")
     long_ = {r.list: -(-r.n // p.list_rows) for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > p.list_rows).collect()}
-    parts = F.create_map(*(F.lit(x) for kv in long_.items() for x in kv)) if long_ else None
-    n_parts = F.coalesce(parts[F.col("list")], F.lit(1)) if long_ else F.lit(1)
+    n_parts = counted(long_)
     # Each query vector once: its rows share the answer.
     asking = rows.filter(query_of).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("vk", F.unhex(F.md5(F.to_json("v"))))
     queries = asking.groupBy("vk").agg(F.first("v").alias("v"))
-    left = lists.withColumn("part", F.pmod(F.xxhash64("vk"), n_parts).cast("int"))
-    right = probes(queries, graph, p).withColumn("part", F.explode(F.sequence(F.lit(0), (n_parts - 1).cast("int"))))
+    asked_lists = saved(probes(queries, graph, p), "probes")
+    many = {r.list: -(-r.n // p.list_queries) for r in asked_lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > p.list_queries).collect()}
+    n_blocks = counted(many)
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    left = lists.withColumn("part", F.pmod(F.xxhash64("vk"), n_parts).cast("int")).withColumn("block", every(n_blocks))
+    right = asked_lists.withColumn("block", F.pmod(F.xxhash64("qk"), n_blocks).cast("int")).withColumn("part", every(n_parts))
 
     def run(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return scan_part(a, b, p.k)
 
-    found = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInPandas(run, FOUND)
+    found = left.groupBy("list", "part", "block").cogroup(right.groupBy("list", "part", "block")).applyInPandas(run, FOUND)
     order = Window.partitionBy("qk").orderBy("score", F.col("ids")[0], "vk")
     best = found.dropDuplicates(["qk", "vk"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= p.k + 1)
     rows_of = best.select("qk", "score", F.explode("ids").alias("vec_id"))
