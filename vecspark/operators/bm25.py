@@ -45,16 +45,17 @@ def scores(corpus: DataFrame, queries: DataFrame, p: Bm25Params = Bm25Params())
     """(query_id, doc_id, score) of the documents that hold any query term.
 
     queries: query_id, query_text. Repeated query terms count repeatedly. A term's
-    weight in a query is small, so document rows are reduced to the query terms
-    before any shuffle: the term list is broadcast, with a bounded number of queries.
+    weight in a query is small, so document rows are reduced to the query terms before
+    the second shuffle. The query terms follow the number of queries, so no broadcast is
+    asked for: Spark sends them to all where its own size limit allows.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = asked.select("term").distinct()
     docs = tokenized(corpus).select("doc_id", F.size("terms").cast("double").alias("dl"), "terms")
-    hits = docs.select("doc_id", "dl", F.explode("terms").alias("term")).join(F.broadcast(wanted), "term").groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hits = docs.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(corpus)
-    terms = F.broadcast(asked.join(df, "term").crossJoin(F.broadcast(stats)))
+    terms = asked.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("num_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avg_doc_length")))
     return hits.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * tf).alias("score"))

@@ -161,5 +161,13 @@ def _searcher(asked: list, k: int, ef: int, p: HnswParams):
 
 
 def delete(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """Nodes without the deleted ones, nor links to them (a search skips links to absent nodes)."""
-    return nodes.join(ids.select("doc_id"), "doc_id", "left_anti").select(*nodes.columns)
+    """Nodes without the deleted ones, and without links to them.
+
+    The links to deleted nodes are found by a join on the link's end, so the deleted ids
+    may be very many; a node's links are bounded.
+    """
+    left = nodes.join(ids.select("doc_id"), "doc_id", "left_anti").select(*nodes.columns)
+    ends = left.select("shard", "doc_id", F.explode(F.array_distinct(F.flatten("links"))).alias("end"))
+    dead = ends.join(ids.select(F.col("doc_id").alias("end")).distinct(), "end").groupBy("doc_id").agg(F.collect_set("end").alias("dead"))
+    pruned = F.transform("links", lambda layer: F.when(F.col("dead").isNull(), layer).otherwise(F.array_except(layer, F.col("dead"))))
+    return left.join(dead, "doc_id", "left").withColumn("links", pruned).select(*nodes.columns)

@@ -26,8 +26,8 @@ def blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> list[DataFrame]:
     if n <= size:
         return [queries]
     parts = -(-2 * n // size)
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    return [dealt.filter(F.col("_block") == i).drop("_block") for i in range(parts)]
+    at = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    return [queries.filter(at == i) for i in range(parts)]
 
 
 def search_one(corpus: DataFrame, vector: Column, k: int, metric: str = "l2") -> DataFrame:
@@ -39,8 +39,9 @@ def search_one(corpus: DataFrame, vector: Column, k: int, metric: str = "l2") ->
 def search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(query_id, doc_id, distance, rank) of the k nearest of each query.
 
-    corpus: doc_id, vector. queries: query_id, query_vector.
+    corpus: doc_id, vector. queries: query_id, query_vector. Null vectors take no part.
     """
+    corpus, queries = corpus.filter("vector IS NOT NULL"), queries.filter("query_vector IS NOT NULL")
     measure = vectors.distance(metric)
     out = None
     for q in blocks(queries):

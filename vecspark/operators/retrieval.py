@@ -31,7 +31,7 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 
 def rerank(hits: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_overlap) -> DataFrame:
     """hits with `score` replaced by the scorer's, ranked anew."""
-    again = hits.drop("rank").join(F.broadcast(queries.select("query_id", "query_text")), "query_id").withColumn("score", scorer(F.col("query_text"), F.col("text"))).drop("query_text")
+    again = hits.drop("rank").join(queries.select("query_id", "query_text"), "query_id").withColumn("score", scorer(F.col("query_text"), F.col("text"))).drop("query_text")
     return top_k(again, "query_id", 1 << 30, F.col("score").desc(), F.col("doc_id"))
 
 

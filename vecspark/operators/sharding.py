@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors
@@ -89,3 +89,14 @@ def generate_ids(df: DataFrame, existing: DataFrame) -> DataFrame:
     top = existing.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("_top"))
     at = round_robin(df.withColumnRenamed("ord", "doc_id"), 1 << 31).withColumnRenamed("shard_id", "_at")
     return at.crossJoin(F.broadcast(top)).withColumn("new_id", F.col("_top") + 1 + F.col("_at")).drop("_top", "_at").withColumnRenamed("doc_id", "ord")
+
+
+def save(sharded: DataFrame, path: str) -> None:
+    """A folder for each shard, so that a reader of some shards opens no other."""
+    sharded.repartition("shard_id", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("shard_id").parquet(path)
+
+
+def load(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
+    """All shards, or the given ones by partition pruning."""
+    rows = spark.read.parquet(path)
+    return rows if shards is None else rows.filter(F.col("shard_id").isin(shards))
