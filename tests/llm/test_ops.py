@@ -676,6 +676,20 @@ def test_pipeline(spark, small):
     assert {r.doc_id for r in p.run(spark, small).collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_pipeline_stages_on_awkward_rows(spark, small, awkward, none):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, awkward, small)
+        assert got.columns == awkward.columns and 0 < got.count() <= awkward.count(), name
+        empty = stage(spark, none, small)
+        assert empty.columns == awkward.columns and empty.count() == 0, name
+    kept = {(r.doc_id, r.text) for r in p.near_duplicates(spark, awkward, small).select("doc_id", "text", "key").filter("key = 4").collect()}
+    assert (1, None) in kept and not any(i in (2, 9) for i, _ in kept)
+    check_packing(p.pack(spark, awkward, small).collect())
+    assert p.pack(spark, none, small).count() == 0
+
+
 def test_sql_of_the_expressible(spark, small):
     import duckdb
 
