@@ -127,3 +127,74 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_graph_grows_by_insert(spark):
+    import numpy as np
+
+    from vecspark.operators import hnsw, knn
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    schema = "doc_id long, vector array<double>"
+    all_, asked = spark.createDataFrame(rows, schema), spark.createDataFrame([(i, v) for i, v in rows if i % 20 == 0], "query_id long, query_vector array<double>")
+    for p in (hnsw.HnswParams(), hnsw.HnswParams(shard_rows=150)):
+        first = hnsw.build(spark.createDataFrame(rows[:300], schema), p)
+        grown = hnsw.insert(first, spark.createDataFrame(rows[250:], schema), p)
+        got = grown.select("doc_id", "shard").collect()
+        assert sorted(r.doc_id for r in got) == list(range(400))
+        found = {(r.query_id, r.rank): r.doc_id for r in hnsw.search(grown, asked, 5, 400, p).collect()}
+        assert found == {(r.query_id, r["rank"]): r.doc_id for r in knn.search(all_, asked, 5, "l2").collect()}
+    empty = hnsw.build(spark.createDataFrame([], schema))
+    assert hnsw.insert(empty, all_).count() == 400
+    assert hnsw.insert(first, spark.createDataFrame([], schema)).count() == 300
+
+
+def test_mean_pool_of_awkward_masks(spark):
+    from vecspark.operators import embedding
+
+    rows = [(1, [[1.0, 2.0], [3.0, 4.0]], [1, 1]), (2, [[1.0, 2.0], [3.0, 4.0]], [0, 1]), (3, [[1.0, 2.0]], [0]), (4, [], []), (5, None, None)]
+    df = spark.createDataFrame(rows, "id int, s array<array<double>>, m array<int>")
+    got = {r.id: r.v for r in df.select("id", embedding.mean_pool(df.s, df.m).alias("v")).collect()}
+    assert got == {1: [2.0, 3.0], 2: [3.0, 4.0], 3: [0.0, 0.0], 4: None, 5: None}
+    unit = df.filter("id = 2").select(embedding.mean_pool(df.s, df.m, unit=True).alias("v")).first().v
+    assert [round(x, 6) for x in unit] == [0.6, 0.8]
+
+
+def test_presets():
+    import pytest
+
+    from vecspark.operators import embedding
+
+    assert embedding.preset("code").dim == 768
+    assert embedding.preset(batch_size=8).batch_size == 8
+    with pytest.raises(ValueError):
+        embedding.preset("music")
+
+
+def test_health_and_acknowledged_delete(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+    from vecspark.operators import cluster
+
+    nodes = spark.createDataFrame([("a", "h", 1, False, [0]), ("b", "h", 2, True, [1]), ("c", "h", 3, True, [2])], cluster.NODES)
+    now = datetime.datetime(2024, 1, 1, 0, 1, 0)
+    beats = spark.createDataFrame([("a", now - datetime.timedelta(seconds=30)), ("a", now - datetime.timedelta(seconds=90)), ("b", now - datetime.timedelta(seconds=31))], "node_id string, at timestamp")
+    got = {r.node_id: r.is_healthy for r in cluster.health(nodes, beats, F.lit(now)).collect()}
+    assert got == {"a": True, "b": False, "c": False}
+    corpus, ids = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long"), spark.createDataFrame([(1,), (2,)], "doc_id long")
+    acks = spark.createDataFrame([(1, True), (1, True), (1, False), (3, True)], "doc_id long, success boolean")
+    left, said = cluster.delete(corpus, ids, acks)
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3]
+    assert [(r.doc_id, r.successes) for r in said.collect()] == [(1, 2)]
+
+
+def test_entry_takes_leftovers_for_no_package(tmp_path, monkeypatch):
+    import __spark_entry__
+
+    (tmp_path / "leftover" / "__pycache__").mkdir(parents=True)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert not __spark_entry__._there("leftover")
+    assert not __spark_entry__._there("nowhere_at_all")
+    assert __spark_entry__._there("vecspark.plans")

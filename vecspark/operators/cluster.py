@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = ("one", "quorum", "all")
@@ -50,3 +50,27 @@ def remove_node(nodes: DataFrame, gone: DataFrame) -> DataFrame:
 def stats(nodes: DataFrame) -> DataFrame:
     """One row: total, healthy and unhealthy nodes, and shards placed."""
     return nodes.agg(F.count(F.lit(1)).alias("total_nodes"), F.count_if("is_healthy").alias("healthy"), F.count_if(~F.col("is_healthy")).alias("unhealthy"), F.sum(F.size("shard_ids")).cast("long").alias("shards"))
+
+
+def health(nodes: DataFrame, beats: DataFrame, now: Column, timeout_s: int = 30) -> DataFrame:
+    """nodes with is_healthy told by heartbeats (node_id, at): one within timeout_s of now.
+
+    A node that never answered is not healthy; beats later than now count as answers.
+    """
+    last = beats.groupBy("node_id").agg(F.max("at").alias("_last_beat"))
+    alive = F.coalesce(F.unix_micros(F.col("_last_beat").cast("timestamp")) >= F.unix_micros(now.cast("timestamp")) - timeout_s * 1_000_000, F.lit(False))
+    return nodes.join(last, "node_id", "left").withColumn("is_healthy", alive).select(*nodes.columns)
+
+
+def time_id(at: Column | None = None) -> Column:
+    """Microseconds since the epoch of a time, by default the query's: ids that sort by time, not unique ones."""
+    return F.unix_micros(F.current_timestamp() if at is None else at.cast("timestamp"))
+
+
+def delete(corpus: DataFrame, ids: DataFrame, acks: DataFrame, level: str = "quorum") -> tuple[DataFrame, DataFrame]:
+    """(corpus without the ids whose deletes were acknowledged, the acknowledgements of all ids).
+
+    acks: (doc_id, success), one row a replica. An id without any acknowledgement stays.
+    """
+    said = consistency(acks.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), level)
+    return corpus.join(said.filter("ok"), "doc_id", "left_anti").select(*corpus.columns), said

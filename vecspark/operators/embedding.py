@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,31 @@ from vecspark.functions.text import tokens
 DIM = 64
 
 
+@dataclass(frozen=True)
+class EmbedParams:
+    """What a model hook loads and how it is called."""
+
+    model: str
+    dim: int
+    batch_size: int = 32
+    max_tokens: int = 512
+    normalize: bool = True
+
+
+#: The public models that callers choose by kind of text, with their dimensions.
+PRESETS = {
+    "default": EmbedParams("all-MiniLM-L6-v2", 384),
+    "multilingual": EmbedParams("sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2", 384),
+    "code": EmbedParams("microsoft/codebert-base", 768),
+}
+
+
+def preset(kind: str = "default", **changes) -> EmbedParams:
+    if kind not in PRESETS:
+        raise ValueError(f"unknown preset {kind!r}; known: {', '.join(PRESETS)}")
+    return replace(PRESETS[kind], **changes)
+
+
 def hashed(text: Column, dim: int = DIM, unit: bool = True) -> Column:
     """Signed feature hashing of the tokens (md5), L2-normalised; JVM-side."""
     t = tokens(text)
@@ -31,6 +57,24 @@ def model_udf(make_predict: Callable, batch_size: int = 32):
     return predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
 
 
+def preset_udf(load: Callable[[EmbedParams], Callable], p: EmbedParams = PRESETS["default"]):
+    """model_udf of a preset: `load(p)` runs once a Python worker and returns a batch predictor."""
+    return model_udf(lambda: load(p), p.batch_size)
+
+
+def mean_pool(states: Column, mask: Column, unit: bool = False) -> Column:
+    """The mean of the token vectors whose mask is 1; JVM-side.
+
+    The divisor is at least 1e-9, so a text without tokens has a zero vector; a null array
+    gives null, and so does one without any vector.
+    """
+    kept = F.zip_with(states, mask, lambda v, m: F.transform(v, lambda x: x * m))
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.get(kept, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, x: a + x), F.lit(1e-9))
+    v = F.transform(total, lambda x: x / n)
+    return F.coalesce(vectors.normalize(v, vectors.EPSILON), v) if unit else v
+
+
 def key(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -120,21 +120,57 @@ def with_shards(corpus: DataFrame, p: HnswParams) -> DataFrame:
     return corpus.select(shard.alias("shard"), "doc_id", level.alias("level"), vectors.doubles(F.col("vector")).alias("vector"))
 
 
+def _extend(old: pd.DataFrame, new: pd.DataFrame, p: HnswParams) -> pd.DataFrame:
+    """The node table of one shard with new rows (shard, doc_id, level, vector) linked in, in id order."""
+    new = new.sort_values("doc_id", ignore_index=True)
+    new["links"] = [[[] for _ in range(int(v) + 1)] for v in new["level"]]
+    pdf = pd.concat([old, new], ignore_index=True) if len(old) else new
+    ids = pdf["doc_id"].to_numpy()
+    g = Graph(ids, np.stack(pdf["vector"].to_numpy()), pdf["level"].to_numpy(), _places(ids, pdf["links"]), p)
+    g.entry = int(np.argmax(g.levels[: len(old)])) if len(old) else -1
+    for i in range(len(old), len(pdf)):
+        g.insert(i)
+    links = [[[int(ids[j]) for j in layer] for layer in node] for node in g.links]
+    return pdf.assign(links=links)[["shard", "doc_id", "level", "vector", "links"]]
+
+
+def _places(ids: np.ndarray, links) -> list[list[list[int]]]:
+    """Links by id as links by place; those to ids that are not there go."""
+    at = {int(d): i for i, d in enumerate(ids)}
+    return [[[at[j] for j in layer if j in at] for layer in node] for node in links]
+
+
 def build(corpus: DataFrame, p: HnswParams = HnswParams()) -> DataFrame:
     """Node table NODES: links[layer] are the ids of a node's neighbours in the layer."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
-        ids, x = pdf["doc_id"].to_numpy(), np.stack(pdf["vector"].to_numpy())
-        g = Graph(ids, x, pdf["level"].to_numpy(), None, p)
-        for i in range(len(ids)):
-            g.insert(i)
-        links = [[[int(ids[j]) for j in layer] for layer in node] for node in g.links]
-        return pdf.assign(links=links)[["shard", "doc_id", "level", "vector", "links"]]
+        return _extend(pdf.iloc[:0], pdf, p)
 
     return with_shards(corpus, p).groupBy("shard").applyInPandas(run, NODES)
 
 
+def insert(nodes: DataFrame, new: DataFrame, p: HnswParams = HnswParams()) -> DataFrame:
+    """A stored node table with new vectors (doc_id, vector); ids that are there are replaced.
+
+    While the shards have room for p.shard_rows each, new vectors join them by hash of the
+    id, and shards that get none are not rebuilt. Beyond that they form shards of their own,
+    so no task's graph grows with the table. A search asks all shards, so either is found.
+    """
+    old = delete(nodes, new)
+    size = old.agg(F.count(F.lit(1)), F.max("shard")).first()
+    shards = 0 if size[1] is None else size[1] + 1
+    if size[0] + new.count() > shards * p.shard_rows:
+        return old.unionByName(build(new, p).withColumn("shard", F.col("shard") + shards))
+    placed = with_shards(new, p).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    touched = placed.select("shard").distinct()
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _extend(a, b, p)
+
+    grown = old.join(touched, "shard", "left_semi").groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(run, NODES)
+    return old.join(touched, "shard", "left_anti").select(*old.columns).unionByName(grown)
+
+
 def search(nodes: DataFrame, queries: DataFrame, k: int, ef: int | None = None, p: HnswParams = HnswParams()) -> DataFrame:
     """(query_id, doc_id, distance, rank): every shard's beam search, then the global k nearest."""
     out = None
@@ -151,9 +187,7 @@ def _searcher(asked: list, k: int, ef: int, p: HnswParams):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["doc_id"].to_numpy()
-        at = {int(d): i for i, d in enumerate(ids)}
-        links = [[[at[j] for j in layer if j in at] for layer in node] for node in pdf["links"]]
-        g = Graph(ids, np.stack(pdf["vector"].to_numpy()), pdf["level"].to_numpy(), links, p)
+        g = Graph(ids, np.stack(pdf["vector"].to_numpy()), pdf["level"].to_numpy(), _places(ids, pdf["links"]), p)
         hits = [(qid, int(ids[j]), d) for qid, v in asked for d, j in g.search(v, k, ef)]
         return pd.DataFrame(hits, columns=["query_id", "doc_id", "distance"])
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from vecspark.functions import vectors
 from vecspark.functions.text import tokens
@@ -29,6 +31,14 @@ def lexical_overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(0.0)
 
 
+def model_scorer(make_predict: Callable, batch_size: int = 32) -> Callable[[Column, Column], Column]:
+    """A scorer for rerank from a function that loads a pair model and returns a batch predictor.
+
+    The predictor takes two arrays of texts (queries, documents) and returns their scores.
+    """
+    return predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size)
+
+
 def rerank(hits: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_overlap) -> DataFrame:
     """hits with `score` replaced by the scorer's, ranked anew."""
     again = hits.drop("rank").join(queries.select("query_id", "query_text"), "query_id").withColumn("score", scorer(F.col("query_text"), F.col("text"))).drop("query_text")

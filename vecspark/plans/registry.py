@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,6 +265,16 @@ def hnsw_recall(spark, d):
     return evaluation.recall_at_k(found, truth, 10).join(n, "query_id").select("query_id", "found", (F.col("recall") >= 0.9).alias("reached"))
 
 
+@query(knn_sql(L2))
+def hnsw_insert(spark, d):
+    """A saved graph of the even ids with the odd ones inserted; so wide a beam is exact on the small tables."""
+    even = hnsw.build(emb(spark, d).filter("doc_id % 2 = 0").select("doc_id", "vector"))
+    s = store.Store(spark, scratch_base(spark, "graph"))
+    s.save({"nodes": even})
+    s.save({"nodes": hnsw.insert(s.load("nodes"), emb(spark, d).filter("doc_id % 2 = 1").select("doc_id", "vector"))})
+    return hits6(hnsw.search(s.load("nodes"), asked(spark, d), 10, 512), "distance")
+
+
 @query("SELECT vec_id AS doc_id, 0::BIGINT AS links_to_deleted, true AS linked FROM embeddings WHERE vec_id % 5 <> 0")
 def hnsw_delete(spark, d):
     """Nodes left, their links to deleted nodes, and whether they have any link left."""
@@ -443,6 +454,16 @@ def rerank_lexical(spark, d):
     return _retrieved(spark, d, reranker=retrieval.lexical_overlap)
 
 
+def _share_of_length(queries, texts):
+    return np.array([len(q) / max(len(q) + len(t or ""), 1) for q, t in zip(queries, texts)])
+
+
+@query(f"WITH {DENSE.format(inner=dense_sql())} " + top_sql("SELECT query_id, doc_id, length(b.text)::DOUBLE / (length(b.text) + length(z.text)) AS score FROM z JOIN benchmark b ON b.item_id = z.query_id", "query_id", "round(score, 9) DESC, doc_id", 10, "query_id, doc_id, round(score, 6) AS score, rank"))
+def rerank_model(spark, d):
+    """Reranked through the hook for pair models, here one that compares lengths."""
+    return _retrieved(spark, d, reranker=retrieval.model_scorer(lambda: _share_of_length))
+
+
 # Chunking
 
 FIXED = r"""WITH RECURSIVE d AS (SELECT doc_id, text, len(text) AS n FROM documents),
@@ -535,6 +556,31 @@ def embed_cache_lfu(spark, d):
     return cache.select("key", "hits")
 
 
+def _load_counts(p):
+    """A stand-in for a model: characters and spaces of a text."""
+
+    def predict(texts):
+        return np.array([[len(t), t.count(" ")] for t in texts], np.float32).reshape(len(texts), 2)
+
+    return predict
+
+
+@query("SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces FROM documents")
+def embed_model_hook(spark, d):
+    """Every text through the model hook, which loads once a worker and predicts in batches."""
+    v = docs(spark, d).select("doc_id", embedding.preset_udf(_load_counts, embedding.preset(batch_size=64))("text").alias("v"))
+    return v.select("doc_id", F.col("v")[0].cast("double").alias("chars"), F.col("v")[1].cast("double").alias("spaces"))
+
+
+@query(f"WITH {E} SELECT doc_id, p::INT AS pos, round(coalesce(list_sum(list_transform(range(0, doc_id % 9), lambda i: v[i * 8 + p + 1])), 0) / greatest(doc_id % 9, 1e-9), 6) + 0.0 AS x FROM e, range(0, 8) t(p)")
+def embed_mean_pool(spark, d):
+    """Each vector as eight token vectors, of which the mask keeps none to all."""
+    at = F.sequence(F.lit(0), F.lit(7))
+    states = F.transform(at, lambda i: F.slice("vector", i * 8 + 1, F.lit(8)))
+    mask = F.transform(at, lambda i: (i < F.col("doc_id") % 9).cast("int"))
+    return hits6(emb(spark, d).select("doc_id", F.posexplode(embedding.mean_pool(states, mask)).alias("pos", "x")), "x")
+
+
 # Question answering
 
 
@@ -690,6 +736,30 @@ def consistency_check(spark, d):
     return cluster.consistency(acks, "quorum")
 
 
+ACKED = "SELECT doc_id FROM documents, range(0, 3) t(i) GROUP BY doc_id HAVING doc_id % 5 = 0 AND count(*) FILTER (doc_id % (i + 2) <> 0) >= 2"
+
+
+@query(f"SELECT doc_id FROM documents WHERE doc_id NOT IN ({ACKED})")
+def delete_acknowledged(spark, d):
+    """Documents after a delete of which two of three replicas must tell."""
+    c = docs(spark, d)
+    acks = c.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("doc_id", (F.col("doc_id") % (F.col("i") + 2) != 0).alias("success"))
+    return cluster.delete(c, c.filter("doc_id % 5 = 0"), acks)[0].select("doc_id")
+
+
+@query("SELECT 'node' || i AS node_id, coalesce(max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR, false) AS is_healthy FROM range(0, 5) t(i) LEFT JOIN events ON user_id % 7 = i GROUP BY i")
+def node_health(spark, d):
+    """Nodes by the last event of their users, an hour before the last of all."""
+    ev = table(spark, d, "events")
+    beats = ev.select(F.concat(F.lit("node"), (F.col("user_id") % 7).cast("string")).alias("node_id"), F.col("ts").alias("at"))
+    return cluster.health(nodes(spark), beats, F.lit(str(ev.agg(F.max("ts")).first()[0])), 3600).select("node_id", "is_healthy")
+
+
+@query("SELECT event_id, epoch_us(ts) AS time_id FROM events")
+def time_ids(spark, d):
+    return table(spark, d, "events").select("event_id", cluster.time_id(F.col("ts")).alias("time_id"))
+
+
 @query("SELECT 5::BIGINT AS total_nodes, 4::BIGINT AS healthy, 1::BIGINT AS unhealthy, 9::BIGINT AS shards")
 def cluster_stats(spark, d):
     new = spark.createDataFrame([("node5", "10.0.0.5", 8005, True, [4])], cluster.NODES)
