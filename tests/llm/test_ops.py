@@ -704,3 +704,23 @@ def test_sql_of_the_expressible(spark, small):
         rows = sorted(repr(tuple(r[c] for c in sorted(df.columns) if c in q.columns)) for r in df.collect())
         assert rows == sorted(repr(tuple(r[i] for i in at)) for r in q.fetchall())
         assert sorted(q.columns) == sorted(df.columns)
+
+
+def test_neighbours_of_outliers_are_complete(spark):
+    """A query whose list holds little but itself reads further lists."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2_000, 16))
+    x[::100] *= 12
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    p = ann.AnnParams(vectors_per_list=20, least_rows=1)
+    got = ann.search(df, "id % 100 = 0", p).toPandas()
+    assert (got.groupby("query_id").size() == 10).all() and got.query_id.nunique() == 20
+    got = ann.search(df, "id % 100 = 0", ann.AnnParams(vectors_per_list=20)).toPandas()
+    hit = 0
+    for q in range(0, 2_000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(got.vec_id[got.query_id == q]))
+    assert hit >= 180
+    few = ann.search(df.filter("vec_id < 5"), "id = 0", p).toPandas()
+    assert sorted(few.vec_id) == [1, 2, 3, 4]

@@ -5,7 +5,10 @@ Centroids are trained by balanced k-means on a bounded sample of different vecto
 it is a boundary vector, in those of every other centroid whose distance is within
 `closure` of the nearest, up to `replicas` lists. A query finds its nearest centroids
 with a best-first search over an in-memory neighbour graph of the centroids, and
-keeps, by distance ratio, those not much farther than the nearest. A list longer than
+keeps, by distance ratio, those not much farther than the nearest; where these hold fewer
+than `least_rows` rows, as the list of an outlier that is its own centroid, the next
+nearest lists are read too, all of them if need be, so that every query finds `k` rows
+wherever there are as many. A list longer than
 `list_rows` is split by a hash into parts that are searched apart, and so are the
 queries of a list beyond `list_queries`, so a task's group is bounded whatever the list
 and however many ask it; both meet by a shuffle on (list, part, block of queries), and
@@ -45,7 +48,7 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 
 @dataclass(frozen=True)
 class AnnParams:
-    """`probe_ratio` and `probes` bound the lists a query reads; the rest is the build."""
+    """`probe_ratio` and `probes` bound the lists a query reads beyond `least_rows`; the rest is the build."""
 
     k: int = 10
     sample: int = 20_000
@@ -56,6 +59,7 @@ class AnnParams:
     replicas: int = 4
     probe_ratio: float = 1.35
     probes: int = 48
+    least_rows: int = 1_000
     beam: int = 96
     list_rows: int = 2_000
     list_queries: int = 2_000
@@ -189,14 +193,28 @@ def postings(vectors: DataFrame, graph, p: AnnParams) -> DataFrame:
     return arrow_map(vectors.select("vk", "v", "ids"), run, "list int, vk binary, v array<double>, ids array<long>")
 
 
-def probes(queries: DataFrame, graph, p: AnnParams) -> DataFrame:
-    """(list, qk, q): the lists that distance-ratio pruning leaves each query."""
+def chosen(graph: CentroidGraph, sizes: np.ndarray, q: np.ndarray, p: AnnParams) -> np.ndarray:
+    """The lists that a query reads: those that pruning leaves, and more until they hold enough rows.
+
+    A vector is in at most `replicas` lists, so `replicas` * (k + 1) rows hold k + 1 vectors.
+    """
+    near, d = graph.search(q, p.beam)
+    least = max(p.least_rows, p.replicas * (p.k + 1))
+    if sizes[near].sum() < least:
+        near = np.argsort(((graph.c - q) ** 2).sum(1), kind="stable")
+        d = np.sqrt(((graph.c[near] - q) ** 2).sum(1))
+    by_ratio = min(int((d <= d[0] * p.probe_ratio).sum()), p.probes)
+    by_rows = int(np.searchsorted(np.cumsum(sizes[near]), least)) + 1
+    return near[: max(by_ratio, by_rows)]
+
+
+def probes(queries: DataFrame, graph, sizes, p: AnnParams) -> DataFrame:
+    """(list, qk, q): the lists that each query reads."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, lists = [], []
         for i, q in enumerate(_matrix(batch.column(1))):
-            near, d = graph.value.search(q, p.beam)
-            take = near[d <= d[0] * p.probe_ratio][: p.probes]
+            take = chosen(graph.value, sizes.value, q, p)
             rows += [i] * len(take)
             lists += take.tolist()
         at = pa.array(rows, pa.int64())
@@ -243,12 +261,15 @@ def search(df: DataFrame, query_of: str, params: AnnParams | None = None, id_col
         return spark.createDataFrame([], RESULT)
     graph = spark.sparkContext.broadcast(train(vectors, n, p))
     lists = saved(postings(vectors, graph, p), "postings")
-    long_ = {r.list: -(-r.n // p.list_rows) for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > p.list_rows).collect()}
+    length = np.zeros(len(graph.value.c), np.int64)  # at most `max_lists`
+    for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
+        length[r.list] = r.n
+    long_ = {int(i): int(-(-length[i] // p.list_rows)) for i in np.flatnonzero(length > p.list_rows)}
     n_parts = counted(long_)
     # Each query vector once: its rows share the answer.
     asking = rows.filter(query_of).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("vk", F.unhex(F.md5(F.to_json("v"))))
     queries = asking.groupBy("vk").agg(F.first("v").alias("v"))
-    asked_lists = saved(probes(queries, graph, p), "probes")
+    asked_lists = saved(probes(queries, graph, spark.sparkContext.broadcast(length), p), "probes")
     many = {r.list: -(-r.n // p.list_queries) for r in asked_lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > p.list_queries).collect()}
     n_blocks = counted(many)
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
