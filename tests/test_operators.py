@@ -87,6 +87,27 @@ def test_graph_finds_and_forgets(corpus, queries):
     assert 0 not in {r.doc_id for r in hnsw.search(hnsw.delete(nodes, gone), queries, 3).collect()}
 
 
+def test_graph_takes_nodes_and_queries_batch_by_batch(spark, corpus):
+    p = hnsw.HnswParams(m=4, ef_construction=16, shard_rows=10)
+    asked = corpus.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    none = spark.createDataFrame([(99, None)], "query_id long, query_vector array<double>")
+    nodes = hnsw.build(corpus, p)
+    exact = knn.search(corpus, asked, 4).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = hnsw.search(nodes, asked.unionByName(none), 4, 40, p).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert nodes.select("shard").distinct().count() > 1
+    assert {(r.query_id, r["rank"], r.doc_id) for r in got} == {(r.query_id, r["rank"], r.doc_id) for r in exact}
+
+
+def test_stored_bm25_index_gives_the_same_hits(spark):
+    corpus_ = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a c"), (1, "b b"), (2, "")], "query_id long, query_text string")
+    assert bm25.search_of(bm25.tokenized(corpus_), asked, 3).collect() == bm25.search(corpus_, asked, 3).collect() != []
+
+
 def test_all_cells_are_exact(corpus, queries):
     centroids = corpus.filter("doc_id in (3, 14, 25)").select(F.col("doc_id").cast("int").alias("cell_id"), F.col("vector").alias("centroid"))
     index = ivf.assign(corpus, centroids, "l2")

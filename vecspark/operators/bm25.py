@@ -18,7 +18,7 @@ class Bm25Params:
 
 
 def tokenized(corpus: DataFrame) -> DataFrame:
-    """(doc_id, terms)."""
+    """(doc_id, terms): the index that a store keeps for `scores_of` and `search_of`."""
     return corpus.select("doc_id", tokens(F.col("text")).alias("terms"))
 
 
@@ -38,23 +38,32 @@ def doc_freqs(corpus: DataFrame) -> DataFrame:
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
     """One row: num_docs, avg_doc_length."""
-    return lengths(corpus).agg(F.count(F.lit(1)).alias("num_docs"), F.avg("dl").alias("avg_doc_length"))
+    return _stats(lengths(corpus))
+
+
+def _stats(lengths_: DataFrame) -> DataFrame:
+    return lengths_.agg(F.count(F.lit(1)).alias("num_docs"), F.avg("dl").alias("avg_doc_length"))
 
 
 def scores(corpus: DataFrame, queries: DataFrame, p: Bm25Params = Bm25Params()) -> DataFrame:
+    """`scores_of` a corpus (doc_id, text) that is not tokenized yet."""
+    return scores_of(tokenized(corpus), queries, p)
+
+
+def scores_of(index: DataFrame, queries: DataFrame, p: Bm25Params = Bm25Params()) -> DataFrame:
     """(query_id, doc_id, score) of the documents that hold any query term.
 
-    queries: query_id, query_text. Repeated query terms count repeatedly. A term's
-    weight in a query is small, so document rows are reduced to the query terms before
-    the second shuffle. The query terms follow the number of queries, so no broadcast is
+    index: doc_id, terms, which both the statistics and the hits read. queries: query_id,
+    query_text. Repeated query terms count repeatedly. A term's weight in a query is
+    small, so document rows are reduced to the query terms before the second shuffle. The query terms follow the number of queries, so no broadcast is
     asked for: Spark sends them to all where its own size limit allows.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = asked.select("term").distinct()
-    docs = tokenized(corpus).select("doc_id", F.size("terms").cast("double").alias("dl"), "terms")
+    docs = index.select("doc_id", F.size("terms").cast("double").alias("dl"), "terms")
     hits = docs.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(corpus)
+    stats = _stats(index.select(F.coalesce(F.size("terms"), F.lit(0)).alias("dl")))
     terms = asked.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("num_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avg_doc_length")))
@@ -63,7 +72,12 @@ def scores(corpus: DataFrame, queries: DataFrame, p: Bm25Params = Bm25Params())
 
 def search(corpus: DataFrame, queries: DataFrame, k: int, p: Bm25Params = Bm25Params()) -> DataFrame:
     """(query_id, doc_id, score, rank): positive scores only; equal scores (to 9 places) by id."""
-    hits = scores(corpus, queries, p).filter("score > 0")
+    return search_of(tokenized(corpus), queries, k, p)
+
+
+def search_of(index: DataFrame, queries: DataFrame, k: int, p: Bm25Params = Bm25Params()) -> DataFrame:
+    """`search` in a stored index (doc_id, terms)."""
+    hits = scores_of(index, queries, p).filter("score > 0")
     return top_k(hits, "query_id", k, F.round("score", 9).desc(), F.col("doc_id"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors
-from vecspark.operators.knn import blocks, top_k
+from vecspark.operators.knn import top_k
 
 NODES = "shard int, doc_id long, level int, vector array<double>, links array<array<long>>"
+HITS = "query_id long, doc_id long, distance double"
 
 
 @dataclass(frozen=True)
@@ -172,24 +174,44 @@ def insert(nodes: DataFrame, new: DataFrame, p: HnswParams = HnswParams()) -> Da
 
 
 def search(nodes: DataFrame, queries: DataFrame, k: int, ef: int | None = None, p: HnswParams = HnswParams()) -> DataFrame:
-    """(query_id, doc_id, distance, rank): every shard's beam search, then the global k nearest."""
-    out = None
-    for q in blocks(queries):
-        rows = [(r.query_id, np.array(r.query_vector, np.float64)) for r in q.select("query_id", "query_vector").collect()]
-        found = nodes.groupBy("shard").applyInPandas(_searcher(rows, k, ef or p.ef_search, p), "query_id long, doc_id long, distance double")
-        near = top_k(found, "query_id", k, F.col("distance"), F.col("doc_id"))
-        out = near if out is None else out.unionByName(near)
-    return out
+    """(query_id, doc_id, distance, rank): every shard's beam search, then the global k nearest.
 
-
-def _searcher(asked: list, k: int, ef: int, p: HnswParams):
-    """The search of one shard's node table for all asked vectors."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["doc_id"].to_numpy()
-        g = Graph(ids, np.stack(pdf["vector"].to_numpy()), pdf["level"].to_numpy(), _places(ids, pdf["links"]), p)
-        hits = [(qid, int(ids[j]), d) for qid, v in asked for d, j in g.search(v, k, ef)]
-        return pd.DataFrame(hits, columns=["query_id", "doc_id", "distance"])
+    Each query goes to each shard and follows its nodes into the shard's task, so a graph
+    is made once however many ask, and queries pass it batch by batch. Save a built table
+    first: its greatest shard is looked up before the search. Null vectors take no part.
+    """
+    last = nodes.agg(F.max("shard")).first()[0]
+    if last is None:
+        return queries.sparkSession.createDataFrame([], HITS + ", rank int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard")
+    asked = queries.filter("query_vector IS NOT NULL").select(each, F.lit(1).alias("kind"), F.col("query_id").cast("long").alias("id"), F.lit(None).cast("int").alias("level"), vectors.doubles(F.col("query_vector")).alias("vector"), F.lit(None).cast("array<array<long>>").alias("links"))
+    both = nodes.select("shard", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "level", "vector", "links").unionByName(asked)
+    sorted_ = both.repartition("shard").sortWithinPartitions("shard", "kind", "id")
+    found = sorted_.mapInPandas(_searcher(k, ef or p.ef_search, p), HITS)
+    return top_k(found, "query_id", k, F.col("distance"), F.col("doc_id"))
+
+
+def _searcher(k: int, ef: int, p: HnswParams):
+    """The search over rows sorted by shard, in each the nodes before the queries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, parts, g = None, [], None
+        for batch in batches:
+            for at, rows in batch.groupby("shard", sort=False):
+                if at != shard:
+                    shard, parts, g = at, [], None
+                asks = rows["kind"].to_numpy() == 1
+                if not asks.all():
+                    parts.append(rows[~asks])
+                if not asks.any() or (g is None and not parts):
+                    continue
+                if g is None:
+                    of = pd.concat(parts, ignore_index=True)
+                    ids = of["id"].to_numpy()
+                    g, parts = Graph(ids, np.stack(of["vector"].to_numpy()), of["level"].to_numpy().astype(np.int64), _places(ids, of["links"]), p), []
+                hits = [(qid, int(g.ids[j]), d) for qid, v in zip(rows["id"][asks], rows["vector"][asks]) for d, j in g.search(np.asarray(v, np.float64), k, ef)]
+                if hits:
+                    yield pd.DataFrame(hits, columns=["query_id", "doc_id", "distance"])
 
     return run
 

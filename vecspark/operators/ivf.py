@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,9 @@ def train(corpus: DataFrame, p: IvfParams = IvfParams()) -> DataFrame:
 
 
 def mean_centroids(corpus: DataFrame, cell: str) -> DataFrame:
-    """Centroids as the mean vector of given cells, which k-means need not find."""
-    at = corpus.select(F.col(cell).alias("cell_id"), F.posexplode("vector").alias("i", "x"))
-    mean = at.groupBy("cell_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return mean.groupBy("cell_id").agg(F.transform(ordered, lambda s: s["x"]).alias("centroid"))
+    """Centroids as the mean vector of given cells, which k-means need not find; each task sends one sum a cell."""
+    known = corpus.filter("vector IS NOT NULL").select(F.col(cell).alias("cell_id"), array_to_vector(vectors.doubles(F.col("vector"))).alias("v"))
+    return known.groupBy("cell_id").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centroid"))
 
 
 def nearest_cells(df: DataFrame, centroids: DataFrame, key: str, vector: str, n: int = 1, metric: str = "cosine_eps") -> DataFrame:

@@ -46,11 +46,12 @@ def subvectors(df: DataFrame, p: PqParams, *keep: str) -> DataFrame:
 
 def train(corpus: DataFrame, p: PqParams, seed: int = 42) -> DataFrame:
     """Codebook (m, code, centroid): one k-means for each subspace, seeds seed + m."""
-    rows = []
+    rows, all_ = [], corpus.select(vectors.doubles(F.col("vector")).alias("vector")).persist()
     for m in range(p.m):
-        x = corpus.select(array_to_vector(vectors.subvector(vectors.doubles(F.col("vector")), m, p.width)).alias("features"))
+        x = all_.select(array_to_vector(vectors.subvector(F.col("vector"), m, p.width)).alias("features"))
         model = KMeans(k=p.centroids, seed=seed + m, maxIter=15).fit(x)
         rows += [(m, i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+    all_.unpersist()
     return corpus.sparkSession.createDataFrame(rows, "m int, code int, centroid array<double>")
 
 

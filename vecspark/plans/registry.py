@@ -315,6 +315,15 @@ def ivf_trained_search(spark, d):
     return hits6(evaluation.recall_at_k(found, knn.search(e, asked(spark, d), 10, "cosine_eps"), 10), "recall")
 
 
+@query()
+def pq_trained_search(spark, d):
+    """Search by codebooks of 8 bits learnt from the vectors, with each query's recall of the exact ten nearest."""
+    p, e = pq.PqParams(64, 8, 8), emb(spark, d)
+    books = pq.train(e, p)
+    found = pq.search(pq.encode(e, books, p), asked(spark, d), books, p, 10)
+    return hits6(evaluation.recall_at_k(found, knn.search(e, asked(spark, d), 10, "l2"), 10), "recall")
+
+
 # BM25
 
 T = f"t AS (SELECT doc_id, {TOK.format('text')} AS w FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t)"
@@ -352,6 +361,14 @@ def bm25_topk(spark, d):
     return hits6(bm25.search(docs(spark, d), questions(spark, d), 10), "score")
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_save_load(spark, d):
+    """The tokenized corpus saved, loaded and searched."""
+    s = store.Store(spark, scratch_base(spark, "bm25"))
+    s.save({"index": bm25.tokenized(docs(spark, d))})
+    return hits6(bm25.search_of(s.load("index"), questions(spark, d), 10), "score")
+
+
 @query(f"WITH {SCORE}, top AS (" + top_sql("SELECT * FROM sc WHERE score > 0", "query_id", "round(score, 9) DESC, doc_id", 5, "query_id, doc_id, round(score, 6) AS score, rank") + ") SELECT top.*, text FROM top JOIN documents USING (doc_id)")
 def sparse_retrieve(spark, d):
     return hits6(bm25.retrieve(docs(spark, d), questions(spark, d), 5), "score")
