@@ -1,7 +1,9 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Centroids are trained by balanced k-means on a bounded sample of different vectors
-(`sample`); every vector then lies in the posting list of its nearest centroid and, if
+(`sample`), and each gets a height, a last coordinate that vectors and queries do not
+have, which grows until the lists of the sample are of like length: without it the
+centroids near the middle would be nearest to most of a noisy table. Every vector then lies in the posting list of its nearest centroid and, if
 it is a boundary vector, in those of every other centroid whose distance is within
 `closure` of the nearest, up to `replicas` lists. A query finds its nearest centroids
 with a best-first search over an in-memory neighbour graph of the centroids, and
@@ -58,7 +60,7 @@ class AnnParams:
     closure: float = 1.12
     replicas: int = 4
     probe_ratio: float = 1.35
-    probes: int = 48
+    probes: int = 64
     least_rows: int = 1_000
     beam: int = 96
     list_rows: int = 2_000
@@ -96,6 +98,22 @@ def balanced_kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.nda
     return c
 
 
+def heights(x: np.ndarray, c: np.ndarray, steps: int = 20, rate: float = 0.05) -> np.ndarray:
+    """What to add to squared distances so that lists are of like length: step by step, those of long lists grow."""
+    h, scale = np.zeros(len(c)), distances(x[:2000], c).min(1).mean()
+    for step in range(steps):
+        at = np.concatenate([(distances(x[i : i + 4096], c) + h).argmin(1) for i in range(0, len(x), 4096)])
+        load = np.bincount(at, minlength=len(c)) * len(c) / len(x)
+        h += rate * scale * np.clip(load - 1, -1, 2) / (1 + step / 8)
+        h -= h.min()
+    return h
+
+
+def lifted(x: np.ndarray) -> np.ndarray:
+    """Vectors on the ground, under the heights that centroids have as a last coordinate."""
+    return np.hstack([x, np.zeros((len(x), 1))])
+
+
 class CentroidGraph:
     """Neighbour graph of the centroids, searched best first from fixed entries."""
 
@@ -166,7 +184,8 @@ def train(vectors: DataFrame, n: int, p: AnnParams) -> CentroidGraph:
     rows = vectors.select("v", F.xxhash64("vk").alias("h")).orderBy("h").limit(max(p.sample, p.sample_per_list * k)).select("v").toArrow()
     x = _matrix(rows.column(0).combine_chunks())
     k = min(k, len(x))
-    return CentroidGraph(balanced_kmeans(x, k, p.iterations, p.seed), seed=p.seed)
+    c = balanced_kmeans(x, k, p.iterations, p.seed)
+    return CentroidGraph(np.hstack([c, np.sqrt(heights(x, c))[:, None]]), seed=p.seed)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -177,7 +196,7 @@ def postings(vectors: DataFrame, graph, p: AnnParams) -> DataFrame:
     """(list, vk, v, ids): each vector in its nearest list and its boundary lists."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, c = _matrix(batch.column(1)), graph.value.c
+        x, c = lifted(_matrix(batch.column(1))), graph.value.c
         r = min(p.replicas, len(c))
         rows, lists = [], []
         for a in range(0, len(x), 2048):
@@ -213,7 +232,7 @@ def probes(queries: DataFrame, graph, sizes, p: AnnParams) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, lists = [], []
-        for i, q in enumerate(_matrix(batch.column(1))):
+        for i, q in enumerate(lifted(_matrix(batch.column(1)))):
             take = chosen(graph.value, sizes.value, q, p)
             rows += [i] * len(take)
             lists += take.tolist()
