@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors
+from vecspark.operators import scan
 
 #: Query rows broadcast at once; more go block after block.
-QUERY_BLOCK = 1_000
+QUERY_BLOCK = 8_192
 
 
 def top_k(df: DataFrame, by: str | list[str], k: int, *order: Column) -> DataFrame:
@@ -42,13 +43,9 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ex
     corpus: doc_id, vector. queries: query_id, query_vector. Null vectors take no part.
     """
     corpus, queries = corpus.filter("vector IS NOT NULL"), queries.filter("query_vector IS NOT NULL")
-    measure = vectors.distance(metric)
+    vectors.distance(metric)
     out = None
     for q in blocks(queries):
-        pairs = corpus.select("doc_id", "vector").crossJoin(F.broadcast(q.select("query_id", "query_vector")))
-        if exclude_self:
-            pairs = pairs.filter("doc_id <> query_id")
-        d = measure(F.col("query_vector"), F.col("vector"))
-        near = top_k(pairs.select("query_id", "doc_id", d.alias("distance")), "query_id", k, F.col("distance"), F.col("doc_id"))
+        near = top_k(scan.nearest(corpus, q, k, metric, other=exclude_self).drop("part"), "query_id", k, F.col("distance"), F.col("doc_id"))
         out = near if out is None else out.unionByName(near)
     return out
