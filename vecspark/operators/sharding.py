@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors
+from vecspark.operators import scan
 from vecspark.operators.knn import blocks, top_k
 
 STRATEGIES = ("hash", "random", "round_robin", "range")
@@ -53,12 +54,12 @@ def replicate(df: DataFrame, n: int, factor: int) -> DataFrame:
 
 def search(sharded: DataFrame, queries: DataFrame, k: int, metric: str = "l2", shard: int | None = None) -> DataFrame:
     """Scatter-gather: k of each shard, one row of each id, then the k nearest; `shard` asks only one."""
-    measure = vectors.distance(metric)
+    vectors.distance(metric)
     pool = sharded if shard is None else sharded.filter(F.col("shard_id") == shard)
     out = None
     for q in blocks(queries):
-        pairs = pool.crossJoin(F.broadcast(q)).select("query_id", "shard_id", "doc_id", measure(F.col("query_vector"), F.col("vector")).alias("distance"))
-        local = top_k(pairs, ["query_id", "shard_id"], k, F.col("distance"), F.col("doc_id"))
+        answers = scan.nearest(pool, q, k, metric, "shard_id").withColumnRenamed("part", "shard_id")
+        local = top_k(answers, ["query_id", "shard_id"], k, F.col("distance"), F.col("doc_id"))
         one = local.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"))
         near = top_k(one, "query_id", k, F.col("distance"), F.col("doc_id"))
         out = near if out is None else out.unionByName(near)
