@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspark.functions import vectors
+from vecspark.operators import scan
+from vecspark.operators.knn import blocks, top_k
+
 LEVELS = ("one", "quorum", "all")
 NODES = "node_id string, host string, port int, is_healthy boolean, shard_ids array<int>"
 
@@ -38,6 +42,17 @@ def gather(responses: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def search(placed: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """The k nearest that each node of `placed` (doc_id, vector, node_id) answers, gathered."""
+    vectors.distance(metric)
+    out = None
+    for q in blocks(queries):
+        answers = scan.nearest(placed, q, k, metric, "node_id").withColumnRenamed("part", "node_id")
+        got = gather(top_k(answers, ["query_id", "node_id"], k, F.col("distance"), F.col("doc_id")).drop("rank"), k)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def add_node(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """An id that is there already is replaced."""
     return remove_node(nodes, new).unionByName(new)
