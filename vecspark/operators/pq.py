@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors
+from vecspark.operators import scan
 from vecspark.operators.knn import blocks, top_k
 
 MB = 1024.0 * 1024.0
@@ -91,10 +92,8 @@ def search(codes: DataFrame, queries: DataFrame, codebook: DataFrame, p: PqParam
     """(query_id, doc_id, distance, rank) by asymmetric distance from a lookup table for each query."""
     out = None
     for q in blocks(queries):
-        table = distance_table(q, codebook, p).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("m", "code"), F.col("distance") * F.col("distance")))).alias("table"))
-        terms = F.transform("codes", lambda c, i: F.element_at("table", F.struct(i.alias("m"), c.alias("code"))))
-        d = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
-        near = top_k(codes.crossJoin(F.broadcast(table)).select("query_id", "doc_id", d.alias("distance")), "query_id", k, F.col("distance"), F.col("doc_id"))
+        hits = scan.nearest(codes, q, k, "codes", vector="codes", books=_packed(codebook))
+        near = top_k(hits.drop("part"), "query_id", k, F.col("distance"), F.col("doc_id"))
         out = near if out is None else out.unionByName(near)
     return out
 
