@@ -49,3 +49,12 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ex
         near = top_k(scan.nearest(corpus, q, k, metric, other=exclude_self).drop("part"), "query_id", k, F.col("distance"), F.col("doc_id"))
         out = near if out is None else out.unionByName(near)
     return out
+
+
+def similarities(corpus: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score) of every pair: 1 / (1 + l2), to so many places."""
+    out = None
+    for q in blocks(queries):
+        each = scan.similarities(corpus, q, digits)
+        out = each if out is None else out.unionByName(each)
+    return out
