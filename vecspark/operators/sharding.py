@@ -27,13 +27,28 @@ def by_range(doc_id: Column, boundaries: list[int]) -> Column:
     return (out.otherwise(0) if out is not None else F.lit(0)).cast("int")
 
 
-def round_robin(df: DataFrame, n: int) -> DataFrame:
-    """shard_id by position in id order, from counts of id ranges: no task sees all rows."""
-    parts = df.repartitionByRange("doc_id").withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("doc_id")))
-    sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+def positions(df: DataFrame, key: str) -> DataFrame:
+    """df with `_at`, each row's position from 0 in order of `key`, by counts of key ranges: no task sees all rows.
+
+    The ranges are fixed first, from some keys: those that repartitionByRange draws can
+    differ between the rows and their counts.
+    """
+    n = df.count()
+    pieces = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 1_000)
+    ends = []
+    if pieces > 1:
+        some = df.select(key).filter(F.col(key).isNotNull()).sample(min(1.0, 100 * pieces / n), 1).distinct().orderBy(key).collect()
+        ends = [some[len(some) * i // pieces][0] for i in range(1, pieces)] if some else []
+    at = sum((F.coalesce(F.col(key) >= F.lit(e), F.lit(False)).cast("int") for e in ends), F.lit(0))
+    local = df.withColumn("_p", at).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    sizes = df.select(at.alias("_p")).groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(before), "_p").withColumn("shard_id", ((F.col("_before") + F.col("_r") - 1) % n).cast("int")).drop("_p", "_r", "_before")
+    return local.join(F.broadcast(before), "_p").withColumn("_at", F.col("_before") + F.col("_r") - 1).drop("_p", "_r", "_before")
+
+
+def round_robin(df: DataFrame, n: int) -> DataFrame:
+    """shard_id by position in id order."""
+    return positions(df, "doc_id").withColumn("shard_id", (F.col("_at") % n).cast("int")).drop("_at")
 
 
 def route(df: DataFrame, n: int, strategy: str = "hash", boundaries: list[int] | None = None, seed: int = 0) -> DataFrame:
