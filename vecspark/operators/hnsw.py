@@ -1,7 +1,7 @@
 """Navigable small-world graphs, one for each shard of a corpus.
 
-Inside a shard the build is sequential: it runs in one task over a bounded number of
-vectors, and the number of shards follows the corpus. Levels come from a hash of the
+A shard is built in one task over a bounded number of vectors, node after node, and the
+number of shards follows the corpus. Levels come from a hash of the
 id, so a graph does not depend on the run.
 """
 
@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors
-from vecspark.operators import scan
+from vecspark.operators import evaluation, scan
 from vecspark.operators.knn import blocks, top_k
 
 NODES = "shard int, doc_id long, level int, vector array<double>, links array<array<long>>"
 HITS = "query_id long, doc_id long, distance double"
+#: Nodes of a shard that look for their neighbours at once.
+LINKED = 512
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,14 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1 + d / np.maximum(np.sqrt((x * x).sum(1) * (q @ q)), 1e-300)
 
 
+def _order(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """What sorts the rows x about as their distances to each of q do."""
+    d = q @ x.T
+    if metric in ("l2", "euclidean"):
+        return (x * x).sum(1) - 2 * d
+    return -d if metric == "dot" else -d / np.maximum(np.sqrt((x * x).sum(1)), 1e-150)
+
+
 class Graph:
     """The graph of one shard: vectors, levels, and neighbour lists by layer."""
 
@@ -72,38 +82,66 @@ class Graph:
                 continue
             seen.update(new)
             for a, j in zip(_distances(self.x[new], q, self.p.metric).tolist(), new):
-                if len(kept) < ef or a < -kept[0][0]:
+                if len(kept) < ef or (-a, -j) > kept[0]:
                     heapq.heappush(open_, (a, j))
                     heapq.heappush(kept, (-a, -j))
                     if len(kept) > ef:
                         heapq.heappop(kept)
         return sorted((-a, -b) for a, b in kept)
 
-    def insert(self, i: int) -> None:
-        """Link node i in every layer that it shares with the graph."""
-        if self.entry < 0:
-            self.entry = i
-            return
-        q, at, top = self.x[i], [self.entry], int(self.levels[self.entry])
-        for layer in range(top, int(self.levels[i]), -1):
-            at = [self.beam(q, at, 1, layer)[0][1]]
-        for layer in range(min(top, int(self.levels[i])), -1, -1):
-            near = self.beam(q, at, self.p.ef_construction, layer)
-            most = self.p.m * (2 if layer == 0 else 1)
-            for _, j in near[: self.p.m]:
-                self.links[i][layer].append(j)
-                back = self.links[j][layer]
-                back.append(i)
-                if len(back) > most:
-                    d = _distances(self.x[back], self.x[j], self.p.metric)
-                    keep = [back[t] for t in np.lexsort((back, d))[:most]]
-                    for gone in set(back) - set(keep):
-                        if j in self.links[gone][layer]:
-                            self.links[gone][layer].remove(j)
-                    self.links[j][layer] = keep
-            at = [j for _, j in near]
-        if self.levels[i] > top:
-            self.entry = i
+    def link(self, start: int) -> None:
+        """Link the nodes from `start` on, in order, to the nearest of those before them, in every layer that both have.
+
+        Candidates come by matrix products, so a shard costs the square of its bounded rows.
+        """
+        x, p = self.x, self.p
+        for layer in range(int(self.levels.max(initial=-1)) + 1):
+            at, most = np.flatnonzero(self.levels >= layer), p.m * (2 if layer == 0 else 1)
+            far = {int(i): dict(zip(self.links[i][layer], _distances(x[self.links[i][layer]], x[i], p.metric).tolist())) for i in at}
+            for a in range(int(np.searchsorted(at, start)), len(at), LINKED):
+                new = at[a : a + LINKED]
+                old = at[: a + len(new)]
+                near = _order(x[old], x[new], p.metric)
+                near[np.arange(len(new))[:, None] + a <= np.arange(len(old))] = np.inf
+                n = min(p.ef_construction, len(old))
+                some = np.argpartition(near, n - 1, axis=1)[:, :n]
+                for r, i in enumerate(new.tolist()):
+                    js = old[some[r][some[r] < a + r]]
+                    d = _distances(x[js], x[i], p.metric)
+                    first = np.lexsort((js, d))[: p.m]
+                    for j, dj in zip(js[first].tolist(), d[first].tolist()):
+                        far[i][j] = far[j][i] = dj
+                        if len(far[j]) > most:
+                            gone = max(far[j], key=lambda t, of=far[j]: (of[t], t))
+                            del far[j][gone], far[gone][j]
+            for i, to in far.items():
+                self.links[i][layer] = list(to)
+        self.entry = int(np.argmax(self.levels)) if len(self.levels) else -1
+        self.join()
+
+    def join(self) -> None:
+        """Link what the lowest layer's links leave apart, as copies beyond a full list, each to the nearest node with room."""
+        n = len(self.ids)
+        inside, room = np.zeros(n, bool), np.full(n, self.p.m)
+
+        def reach(i: int) -> None:
+            inside[i], open_ = True, [i]
+            while open_:
+                for j in self.links[open_.pop()][0]:
+                    if not inside[j]:
+                        inside[j] = True
+                        open_.append(j)
+
+        if n:
+            reach(self.entry)
+        for i in range(n):
+            if not inside[i]:
+                js = np.flatnonzero(inside & (room > 0))
+                j = int(js[np.argmin(_distances(self.x[js], self.x[i], self.p.metric))])
+                self.links[i][0].append(j)
+                self.links[j][0].append(i)
+                room[j] -= 1
+                reach(i)
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
         if self.entry < 0:
@@ -130,9 +168,7 @@ def _extend(old: pd.DataFrame, new: pd.DataFrame, p: HnswParams) -> pd.DataFrame
     pdf = pd.concat([old, new], ignore_index=True) if len(old) else new
     ids = pdf["doc_id"].to_numpy()
     g = Graph(ids, np.stack(pdf["vector"].to_numpy()), pdf["level"].to_numpy(), _places(ids, pdf["links"]), p)
-    g.entry = int(np.argmax(g.levels[: len(old)])) if len(old) else -1
-    for i in range(len(old), len(pdf)):
-        g.insert(i)
+    g.link(len(old))
     links = [[[int(ids[j]) for j in layer] for layer in node] for node in g.links]
     return pdf.assign(links=links)[["shard", "doc_id", "level", "vector", "links"]]
 
@@ -187,11 +223,26 @@ def search(nodes: DataFrame, queries: DataFrame, k: int, ef: int | None = None,
     each = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard")
     asked = queries.filter("query_vector IS NOT NULL").select(each, F.lit(1).alias("kind"), F.col("query_id").cast("long").alias("id"), F.lit(None).cast("int").alias("level"), vectors.doubles(F.col("query_vector")).alias("vector"), F.lit(None).cast("array<array<long>>").alias("links"))
     both = nodes.select("shard", F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "level", "vector", "links").unionByName(asked)
-    sorted_ = both.repartition("shard").sortWithinPartitions("shard", "kind", "id")
+    sorted_ = both.repartitionById(last + 1, F.col("shard")).sortWithinPartitions("shard", "kind", "id")
     found = sorted_.mapInPandas(_searcher(k, ef or p.ef_search, p), HITS)
     return top_k(found, "query_id", k, F.col("distance"), F.col("doc_id"))
 
 
+def reaching(nodes: DataFrame, queries: DataFrame, truth: DataFrame, k: int, recall: float, ef: int, p: HnswParams = HnswParams()) -> DataFrame:
+    """`search`, whose beam grows fourfold for the queries with less than `recall` of their truth, until it takes in a shard."""
+    asked = queries
+    size = nodes.groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    out = search(nodes, asked, k, ef, p).persist()
+    while ef < size:
+        short = evaluation.recall_at_k(out, truth, k).filter(F.col("recall") < recall).select("query_id").persist()
+        if short.isEmpty():
+            break
+        ef *= 4
+        asked = queries.join(short, "query_id", "left_semi")
+        out = out.join(short, "query_id", "left_anti").select(*out.columns).unionByName(search(nodes, asked, k, ef, p)).persist()
+    return out
+
+
 def checked(found: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, p: HnswParams = HnswParams()) -> DataFrame:
     """What `search` found, held against all nodes: nearer ones that the beams missed come in, distances are exact.
 
