@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from vecspark.operators import scan
 from vecspark.operators.knn import blocks, top_k
 
 MB = 1024.0 * 1024.0
+#: Rows for each centroid among which training looks for its first centroids; rows encoded at once.
+STARTS, ENCODED = 16, 1_024
 
 
 @dataclass(frozen=True)
@@ -45,15 +48,70 @@ def subvectors(df: DataFrame, p: PqParams, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(parts))
 
 
+def _spread(start: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: up to k different rows of `start`, each drawn by its squared distance to those before."""
+    rng, found = np.random.default_rng(seed), []
+    far = np.ones(len(start))
+    while len(found) < k and far.sum() > 0:
+        c = start[min(np.searchsorted(np.cumsum(far), rng.random() * far.sum(), "right"), len(start) - 1)]
+        if found and not far[(start == c).all(1)].any():
+            break
+        d = ((start - c) ** 2).sum(1)
+        found.append(c)
+        far = np.minimum(far, d) if len(found) > 1 else d
+    return np.array(found).reshape(-1, start.shape[1])
+
+
+def _sums(books: list[np.ndarray]):
+    """Of packed rows: for each subspace and code the number and the sum of the sub-vectors nearest to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(b), np.int64) for b in books]
+        total = [np.zeros(b.shape) for b in books]
+        for _, x in scan.unpacked(batches):
+            for m, b in enumerate(books):
+                w = b.shape[1]
+                sub = x[:, m * w : (m + 1) * w]
+                at = ((b * b).sum(1) - 2 * (sub @ b.T)).argmin(1)
+                n[m] += np.bincount(at, minlength=len(b))
+                for i in range(w):
+                    total[m][:, i] += np.bincount(at, sub[:, i], len(b))
+        for m, c in enumerate(n):
+            has = np.flatnonzero(c)
+            sums = {f"s{i}": total[m][has, i] for i in range(total[m].shape[1])}
+            yield pa.RecordBatch.from_pydict({"m": pa.array(np.full(len(has), m, np.int32)), "code": pa.array(has.astype(np.int32)), "n": c[has], **sums})
+
+    return run
+
+
 def train(corpus: DataFrame, p: PqParams, seed: int = 42) -> DataFrame:
-    """Codebook (m, code, centroid): one k-means for each subspace, seeds seed + m."""
-    rows, all_ = [], corpus.select(vectors.doubles(F.col("vector")).alias("vector")).persist()
-    for m in range(p.m):
-        x = all_.select(array_to_vector(vectors.subvector(F.col("vector"), m, p.width)).alias("features"))
-        model = KMeans(k=p.centroids, seed=seed + m, maxIter=15).fit(x)
-        rows += [(m, i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    all_.unpersist()
-    return corpus.sparkSession.createDataFrame(rows, "m int, code int, centroid array<double>")
+    """Codebook (m, code, centroid): k-means of each subspace, all in one pass over all rows an iteration, 15 at most.
+
+    First centroids come by k-means++, seeds seed + m, from rows chosen by hash, about STARTS for each
+    centroid. Rows that are null, of another length or not finite teach nothing.
+    """
+    sized = F.size("vector") == p.dim
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    rows = corpus.select("doc_id", vectors.doubles(F.col("vector")).alias("vector")).filter(F.coalesce(sized & finite, F.lit(False)))
+    packs = scan.dealt(scan.packed(rows, None, "doc_id", "vector")).persist()
+    n = packs.agg(F.sum(F.length("ids")) / 8).first()[0] or 0
+    share = F.lit(min(1.0, STARTS * p.centroids / max(n, 1)))
+    first = sorted((r.doc_id, r.vector) for r in rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) < share * (1 << 40)).collect())
+    start = np.array([v for _, v in first]).reshape(-1, p.dim)
+    books = [_spread(start[:, m * p.width : (m + 1) * p.width], p.centroids, seed + m) for m in range(p.m)]
+    schema = "m int, code int, n long, " + ", ".join(f"s{i} double" for i in range(p.width))
+    for _ in range(15):
+        sums = packs.mapInArrow(_sums(books), schema).groupBy("m", "code").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(p.width)))))
+        moved = 0.0
+        for m, code, count, *s in sums.collect():
+            c = np.array(s) / count
+            moved = max(moved, float(((c - books[m][code]) ** 2).sum()))
+            books[m][code] = c
+        if moved <= 1e-8:
+            break
+    packs.unpersist()
+    learnt = [(m, i, c.tolist()) for m, b in enumerate(books) for i, c in enumerate(b)]
+    return corpus.sparkSession.createDataFrame(learnt, "m int, code int, centroid array<double>")
 
 
 def codebook_from(corpus: DataFrame, p: PqParams, n: int) -> DataFrame:
@@ -69,11 +127,45 @@ def _packed(codebook: DataFrame) -> DataFrame:
     return books.agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "book"))), lambda b: b["book"]).alias("_books"))
 
 
+def _encoder(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, of = None, None
+        for batch in batches:
+            packed = batch.column(batch.schema.get_field_index("_books"))
+            for r, (ids, x) in enumerate(scan.unpacked([batch])):
+                if books is None:  # one row of books, the same beside every pack
+                    books = [np.array([c["centroid"] for c in book], np.float64) for book in packed[r].as_py()]
+                    of = [np.array([c["code"] for c in book], np.int32) for book in packed[r].as_py()]
+                codes = np.empty((len(ids), len(books)), np.int32)
+                for a in range(0, len(ids), ENCODED):
+                    for m, (book, code) in enumerate(zip(books, of, strict=True)):
+                        sub = x[a : a + ENCODED, m * width : (m + 1) * width]
+                        with np.errstate(all="ignore"):
+                            d = np.zeros((len(sub), len(book)))
+                            for i in range(width):
+                                t = sub[:, i, None] - book[None, :, i]
+                                d += t * t
+                            d = np.sqrt(d)
+                        at = np.where(np.isnan(d), np.inf, d).argmin(1)
+                        odd = np.isinf(d[np.arange(len(at)), at]) | np.isnan(d[np.arange(len(at)), at])
+                        at[odd] = np.isnan(d[odd]).argmin(1)  # not a number sorts last
+                        codes[a : a + ENCODED, m] = code[at]
+                each = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, len(books), dtype=np.int32), codes.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == scan.NO_ID), each], ["doc_id", "codes"])
+
+    return run
+
+
 def encode(corpus: DataFrame, codebook: DataFrame, p: PqParams) -> DataFrame:
-    """(doc_id, codes): nearest centroid of each subspace, the least code on ties; no shuffle."""
-    sub = lambda i: F.slice(vectors.doubles(F.col("vector")), i * p.width + 1, F.lit(p.width))
-    code = lambda book, i: F.array_min(F.transform(book, lambda c: F.struct(vectors.euclidean(sub(i), c["centroid"]).alias("d"), c["code"].alias("code"))))["code"]
-    return corpus.crossJoin(F.broadcast(_packed(codebook))).select("doc_id", F.transform("_books", code).alias("codes"))
+    """(doc_id, codes): nearest centroid of each subspace, the least code on ties or where there is no distance.
+
+    Ids are whole numbers. Vectors travel packed beside the codebook, and distances are those of `functions.vectors`.
+    """
+    v = vectors.doubles(F.col("vector"))
+    whole = F.coalesce((F.size(v) == p.dim) & ~F.exists(v, F.isnull), F.lit(False))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(p.dim - 1)), lambda i: F.coalesce(F.get(v, i), F.lit(float("nan"))))
+    packs = scan.dealt(scan.packed(corpus.select("doc_id", F.when(whole, v).otherwise(filled).alias("vector")), None, "doc_id", "vector"))
+    return packs.crossJoin(F.broadcast(_packed(codebook))).mapInArrow(_encoder(p.width), "doc_id long, codes array<int>")
 
 
 def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:

@@ -297,10 +297,24 @@ def _searcher(metric: str, k: int, other: bool):
     return run
 
 
+def unpacked(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of each packed row of vectors."""
+    for batch in batches:
+        ids, x = (batch.column(batch.schema.get_field_index(n)) for n in ("ids", "x"))
+        for i, v in zip(ids, x, strict=True):
+            i = np.frombuffer(i.as_buffer(), np.int64)
+            yield i, np.frombuffer(v.as_buffer()).reshape(len(i), -1)
+
+
+def dealt(packs: DataFrame) -> DataFrame:
+    """Packed rows over all cores."""
+    s = packs.sparkSession
+    return packs.repartition(max(2 * s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _met(rows: DataFrame, queries: DataFrame, by_part: bool, books: DataFrame | None) -> DataFrame:
     """Packed rows, dealt out over all cores, beside packed queries."""
-    sc, conf = rows.sparkSession.sparkContext, rows.sparkSession.conf
-    rows = rows.repartition(max(2 * sc.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions"))))
+    rows = dealt(rows)
     asked = queries.select(F.col("part").alias("q_part"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
     if books is not None:
         asked = asked.crossJoin(F.broadcast(books.select(F.col("_books").alias("books"))))
