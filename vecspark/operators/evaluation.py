@@ -18,12 +18,15 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 
 def summary(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 10, 50, 100)) -> DataFrame:
-    """(k, avg_recall, min_recall, max_recall)."""
-    out = None
-    for k in ks:
-        one = recall_at_k(found, truth, k).agg(F.lit(k).alias("k"), F.avg("recall").alias("avg_recall"), F.min("recall").alias("min_recall"), F.max("recall").alias("max_recall"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(k, avg_recall, min_recall, max_recall), each as `recall_at_k` has it; found and truth are made once for all k."""
+    t = truth.filter(F.col("rank") <= max(ks)).select("query_id", "doc_id", F.col("rank").alias("t"))
+    f = found.filter(F.col("rank") <= max(ks)).select("query_id", "doc_id", F.col("rank").alias("f"))
+    least = [(F.coalesce(F.col("t") <= k, F.lit(False)), F.coalesce(F.col("f") <= k, F.lit(False))) for k in ks]
+    counts = [F.struct(F.count_if(t & f).alias("hits"), F.count_if(t).alias("n"), F.count_if(t | f).alias("any")).alias(f"k{i}") for i, (t, f) in enumerate(least)]
+    both = t.join(f, ["query_id", "doc_id"], "full").groupBy("query_id").agg(*counts)
+    recall = [F.when(F.col(f"k{i}.any") > 0, F.coalesce(F.try_divide(F.col(f"k{i}.hits"), F.col(f"k{i}.n")), F.lit(0.0))) for i in range(len(ks))]
+    rows = [F.struct(F.lit(k).alias("k"), F.avg(r).alias("avg_recall"), F.min(r).alias("min_recall"), F.max(r).alias("max_recall")) for k, r in zip(ks, recall, strict=True)]
+    return both.agg(F.array(*rows).alias("_each")).select(F.inline("_each"))
 
 
 def latency(log: DataFrame, ms: Column, *by: str) -> DataFrame:
