@@ -35,6 +35,16 @@ def _sum(terms: np.ndarray) -> np.ndarray:
     return s
 
 
+def flat(v: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists: their lengths (-1: a null in it, or none), all their elements, and where each list ends in these."""
+    n = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    x, ends = pc.list_flatten(v).cast(pa.float64()), np.cumsum(np.maximum(n, 0))
+    if x.null_count:
+        holes = np.flatnonzero(pc.is_null(x).to_numpy(zero_copy_only=False))
+        n[np.searchsorted(ends, holes, "right")] = -1
+    return n, pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False), ends
+
+
 def _packer(most: int | None):
     """Rows (part, id, vector) as PACK, by part and length; `most` bytes a row, or all in one. Length -1: a null in it, or none."""
 
@@ -51,16 +61,7 @@ def _packer(most: int | None):
             keep = pc.is_valid(parts)
             if not pc.all(keep).as_py():
                 parts, ids, v = parts.filter(keep), ids.filter(keep), v.filter(keep)
-            n = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = pc.list_flatten(v)
-            ends = np.cumsum(np.maximum(n, 0))
-            if flat.null_count:
-                holes = np.flatnonzero(pc.is_null(flat).to_numpy(zero_copy_only=False))
-                dims = n.copy()
-                dims[np.searchsorted(ends, holes, "right")] = -1
-            else:
-                dims = n
-            x = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+            dims, x, ends = flat(v)
             parts, ids = parts.to_numpy(zero_copy_only=False), pc.fill_null(ids, NO_ID).to_numpy(zero_copy_only=False)
             order = np.lexsort((dims, parts))
             cuts = np.flatnonzero((np.diff(parts[order]) != 0) | (np.diff(dims[order]) != 0)) + 1
@@ -235,7 +236,7 @@ class Nearest:
                 self.nulls(ids[s.null])
             if s.q_null.any():
                 self.nulls(ids[~s.null], np.flatnonzero(s.q_null))
-            step, k = max(1, STEP_BYTES // (8 * len(ids))), self.k + self.other
+            step, k = max(1, (STEP_BYTES >> 4) // (8 * len(ids))), self.k + self.other
             for a in range(0, len(self.ids), step):
                 b = min(len(self.ids), a + step)
                 near, wrong = s.near(a, b)
@@ -275,9 +276,46 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield get("part"), get("dim"), ids, x.reshape(len(ids), -1) if get("dim") >= 0 else None, get("q_dim"), q_ids, q.reshape(len(q_ids), -1) if get("q_dim") >= 0 else None, get("books") if "books" in col else None
 
 
-def _searcher(metric: str, k: int, other: bool):
+class Bounds:
+    """What the k-th nearest of each query id is at most, over all parts that a task has seen."""
+
+    def __init__(self):
+        self.ids, self.last = np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray) -> None:
+        every = np.union1d(self.ids, ids)
+        last = np.full(len(every), np.inf)
+        last[np.searchsorted(every, self.ids)] = self.last
+        self.ids, self.last = every, last
+
+    def lower(self, n: Nearest) -> None:
+        n.last = np.minimum(n.last, self.last[np.searchsorted(self.ids, n.ids)])
+
+    def learn(self, n: Nearest) -> None:
+        np.minimum.at(self.last, np.searchsorted(self.ids, n.ids), n.last)
+
+
+def _merged(found: list[Nearest], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each query id in all of `found`, as of part 0."""
+    for n in found:
+        n.settle()
+    kept = [(n.ids[i], j, d, null) for n in found for i, j, d, null in n.kept]
+    if not kept:
+        return
+    q, j, d, null = (np.concatenate(x) for x in zip(*kept, strict=True))
+    order = np.lexsort((j, d, ~null, q))
+    q = q[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    q, order = q[first], order[first]
+    for a in range(0, len(q), 100_000):
+        at = order[a : a + 100_000]
+        yield _hits(0, q[a : a + 100_000], j[at], d[at], null[at])
+
+
+def _searcher(metric: str, k: int, other: bool, merged: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int, bytes], Nearest] = {}
+        bounds = Bounds()
         for part, dim, ids, x, q_dim, q_ids, q, books in _packs(batches):
             key = part, q_dim, q_ids[:1].tobytes()
             if key not in found:
@@ -285,14 +323,22 @@ def _searcher(metric: str, k: int, other: bool):
                 b = [np.array([c["centroid"] for c in book], np.float64) for book in books] if books is not None else None
                 scorer = None if q is None else Codes(b, q) if metric == "codes" else Exact(metric, q)
                 found[key] = Nearest(part, q_ids.copy(), scorer, k, other)
+                bounds.add(q_ids)
             n = found[key]
+            if merged:
+                bounds.lower(n)
             if x is None or n.scorer is None or (metric != "codes" and dim != q_dim) or (metric == "codes" and dim != len(n.scorer.books)):
                 n.nulls(ids)
                 n.settle()
             else:
                 n.chunk(ids, x)
-        for n in found.values():
-            yield from n.hits()
+            if merged:
+                bounds.learn(n)
+        if merged:
+            yield from _merged(list(found.values()), k)
+        else:
+            for n in found.values():
+                yield from n.hits()
 
     return run
 
@@ -323,16 +369,17 @@ def _met(rows: DataFrame, queries: DataFrame, by_part: bool, books: DataFrame |
     return met.drop("q_part")
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str, part: str | None = None, query_part: str | None = None, other: bool = False, vector: str = "vector", books: DataFrame | None = None) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str, part: str | None = None, query_part: str | None = None, other: bool = False, vector: str = "vector", books: DataFrame | None = None, merged: bool = False) -> DataFrame:
     """HITS: for each task and part at least the k nearest of each query; the caller ranks them.
 
+    merged: k for each task and query, whatever the parts, which HITS then has as 0.
     part: a column of the corpus; with it every query is asked of every part, or, with
     query_part too, of the part it names. Ids are whole numbers. `other` leaves out the row of the query's own id.
     queries: few enough to be broadcast.
     """
     asked = packed(queries.repartition(1), query_part, "query_id", "query_vector", None)
     met = _met(packed(corpus, part, "doc_id", vector), asked, query_part is not None, books)
-    return met.mapInArrow(_searcher(metric, k, other), HITS)
+    return met.mapInArrow(_searcher(metric, k, other, merged), HITS)
 
 
 def _all(digits: int):
