@@ -15,8 +15,9 @@ from vecspark.operators import scan
 from vecspark.operators.knn import blocks, top_k
 
 MB = 1024.0 * 1024.0
-#: Rows for each centroid among which training looks for its first centroids; rows encoded at once.
-STARTS, ENCODED = 16, 1_024
+#: Rows for each centroid among which training looks for its first centroids; rows encoded at once; tasks whose sums the driver adds up.
+STARTS, ENCODED, GATHERED = 16, 1_024, 64
+SUMS = "m int, n binary, s binary"
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def _spread(start: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def _sums(books: list[np.ndarray]):
-    """Of packed rows: for each subspace and code the number and the sum of the sub-vectors nearest to it."""
+    """Of packed rows, SUMS: for each subspace, by code, the numbers and the sums of the sub-vectors nearest to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [np.zeros(len(b), np.int64) for b in books]
@@ -76,14 +77,23 @@ def _sums(books: list[np.ndarray]):
                 n[m] += np.bincount(at, minlength=len(b))
                 for i in range(w):
                     total[m][:, i] += np.bincount(at, sub[:, i], len(b))
-        for m, c in enumerate(n):
-            has = np.flatnonzero(c)
-            sums = {f"s{i}": total[m][has, i] for i in range(total[m].shape[1])}
-            yield pa.RecordBatch.from_pydict({"m": pa.array(np.full(len(has), m, np.int32)), "code": pa.array(has.astype(np.int32)), "n": c[has], **sums})
+        rows = [(m, c.tobytes(), t.tobytes()) for m, (c, t) in enumerate(zip(n, total, strict=True))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["m", "n", "s"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SUMS of several tasks added up."""
+    found: dict[int, list[np.ndarray]] = {}
+    for b in batches:
+        for m, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            each = np.frombuffer(n, np.int64), np.frombuffer(s)
+            found[m] = [x + y for x, y in zip(found[m], each, strict=True)] if m in found else list(each)
+    for m, (n, s) in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([n.tobytes()]), pa.array([s.tobytes()])], ["m", "n", "s"])
+
+
 def train(corpus: DataFrame, p: PqParams, seed: int = 42) -> DataFrame:
     """Codebook (m, code, centroid): k-means of each subspace, all in one pass over all rows an iteration, 15 at most.
 
@@ -99,14 +109,20 @@ def train(corpus: DataFrame, p: PqParams, seed: int = 42) -> DataFrame:
     first = sorted((r.doc_id, r.vector) for r in rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) < share * (1 << 40)).collect())
     start = np.array([v for _, v in first]).reshape(-1, p.dim)
     books = [_spread(start[:, m * p.width : (m + 1) * p.width], p.centroids, seed + m) for m in range(p.m)]
-    schema = "m int, code int, n long, " + ", ".join(f"s{i} double" for i in range(p.width))
+    tasks = packs.rdd.getNumPartitions()
     for _ in range(15):
-        sums = packs.mapInArrow(_sums(books), schema).groupBy("m", "code").agg(*(F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(p.width)))))
+        sums = packs.mapInArrow(_sums(books), SUMS)
+        if tasks > GATHERED:
+            sums = sums.repartition(p.m, "m").mapInArrow(_added, SUMS)
+        rows = sums.toArrow().to_batches()
         moved = 0.0
-        for m, code, count, *s in sums.collect():
-            c = np.array(s) / count
-            moved = max(moved, float(((c - books[m][code]) ** 2).sum()))
-            books[m][code] = c
+        for one in _added(rows):
+            m, n, s = (c[0].as_py() for c in one.columns)
+            n, s = np.frombuffer(n, np.int64), np.frombuffer(s).reshape(books[m].shape)
+            has = n > 0
+            c = s[has] / n[has, None]
+            moved = max(moved, ((c - books[m][has]) ** 2).sum(1).max(initial=0.0))
+            books[m][has] = c
         if moved <= 1e-8:
             break
     packs.unpersist()
