@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors
@@ -131,10 +132,12 @@ def train(corpus: DataFrame, p: PqParams, seed: int = 42) -> DataFrame:
 
 
 def codebook_from(corpus: DataFrame, p: PqParams, n: int) -> DataFrame:
-    """A codebook of the sub-vectors of the n least ids."""
-    first = corpus.orderBy("doc_id").limit(n).select("doc_id", "vector")
-    code = (F.row_number().over(Window.partitionBy("m").orderBy("doc_id")) - 1).alias("code")
-    return subvectors(first, p, "doc_id").select("m", code, F.col("sub").alias("centroid"))
+    """A codebook of the sub-vectors of the n least ids, which are read at once."""
+    first = corpus.orderBy("doc_id").limit(n).select("doc_id", vectors.doubles(F.col("vector")).alias("vector")).collect()
+    cut = lambda v, m: None if v is None else v[m * p.width : (m + 1) * p.width]
+    m, code, centroid = ([r[i] for r in ((m, c, cut(row.vector, m)) for m in range(p.m) for c, row in enumerate(first))] for i in range(3))
+    arrays = pa.array(m, pa.int32()), pa.array(code, pa.int32()), pa.array(centroid, pa.list_(pa.float64()))
+    return corpus.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, ["m", "code", "centroid"]))
 
 
 def _packed(codebook: DataFrame) -> DataFrame:
@@ -143,31 +146,68 @@ def _packed(codebook: DataFrame) -> DataFrame:
     return books.agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "book"))), lambda b: b["book"]).alias("_books"))
 
 
-def _encoder(width: int):
+def _books(codebook: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The codebook on the driver: of each m the centroids by code, and the codes; M * 2^n_bits rows at most."""
+    book: dict[int, list] = {}
+    for r in sorted(codebook.select("m", "code", "centroid").collect(), key=lambda r: (r.m, r.code)):
+        book.setdefault(r.m, []).append((r.code, r.centroid))
+    return [np.array([c for _, c in b], np.float64) for b in book.values()], [np.array([i for i, _ in b], np.int32) for b in book.values()]
+
+
+def _filled(v: pa.Array, dim: int) -> np.ndarray:
+    """Lists as rows of `dim` numbers, what they lack not a number."""
+    n = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x = pc.fill_null(pc.list_flatten(v).cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    if (n == dim).all():
+        return x.reshape(-1, dim)
+    out, i = np.full((len(n), dim), np.nan), np.arange(dim)
+    there = i < n[:, None]
+    out[there] = x[((np.cumsum(n) - n)[:, None] + i)[there]]
+    return out
+
+
+def _nearest_exactly(sub: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The row of the book nearest to each row, term by term as `functions.vectors` has it; the first on ties."""
+    with np.errstate(all="ignore"):
+        d = np.zeros((len(sub), len(book)))
+        for i in range(sub.shape[1]):
+            t = sub[:, i, None] - book[None, :, i]
+            d += t * t
+        d = np.sqrt(d)
+    at = np.where(np.isnan(d), np.inf, d).argmin(1)
+    low = d[np.arange(len(at)), at]
+    odd = np.isinf(low) | np.isnan(low)
+    at[odd] = np.isnan(d[odd]).argmin(1)  # not a number sorts last
+    return at
+
+
+def _nearest(sub: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The same by a matrix product; where that leaves more than one, or may not judge, term by term."""
+    sane = lambda s: (s < 1e100) & ((s > 1e-100) | (s == 0))
+    with np.errstate(all="ignore"):
+        square, own = (book * book).sum(1), (sub * sub).sum(1)
+        if not sane(square).all():
+            return _nearest_exactly(sub, book)
+        d = sub @ (-2 * book.T)
+        d += square
+        at = d.argmin(1)
+        wrong = 4e-16 * (sub.shape[1] + 16) * (np.sqrt(own) + np.sqrt(square.max())) ** 2
+        again = ((d <= (d[np.arange(len(at)), at] + 4 * wrong)[:, None]).sum(1) > 1) | ~sane(own)
+    if again.any():
+        at[again] = _nearest_exactly(sub[again], book)
+    return at
+
+
+def _encoder(books: list[np.ndarray], of: list[np.ndarray], p: PqParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, of = None, None
         for batch in batches:
-            packed = batch.column(batch.schema.get_field_index("_books"))
-            for r, (ids, x) in enumerate(scan.unpacked([batch])):
-                if books is None:  # one row of books, the same beside every pack
-                    books = [np.array([c["centroid"] for c in book], np.float64) for book in packed[r].as_py()]
-                    of = [np.array([c["code"] for c in book], np.int32) for book in packed[r].as_py()]
-                codes = np.empty((len(ids), len(books)), np.int32)
-                for a in range(0, len(ids), ENCODED):
-                    for m, (book, code) in enumerate(zip(books, of, strict=True)):
-                        sub = x[a : a + ENCODED, m * width : (m + 1) * width]
-                        with np.errstate(all="ignore"):
-                            d = np.zeros((len(sub), len(book)))
-                            for i in range(width):
-                                t = sub[:, i, None] - book[None, :, i]
-                                d += t * t
-                            d = np.sqrt(d)
-                        at = np.where(np.isnan(d), np.inf, d).argmin(1)
-                        odd = np.isinf(d[np.arange(len(at)), at]) | np.isnan(d[np.arange(len(at)), at])
-                        at[odd] = np.isnan(d[odd]).argmin(1)  # not a number sorts last
-                        codes[a : a + ENCODED, m] = code[at]
-                each = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, len(books), dtype=np.int32), codes.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == scan.NO_ID), each], ["doc_id", "codes"])
+            x = _filled(batch.column(1), p.dim)
+            codes = np.empty((len(x), len(books)), np.int32)
+            for a in range(0, len(x), ENCODED):
+                for m, (book, code) in enumerate(zip(books, of, strict=True)):
+                    codes[a : a + ENCODED, m] = code[_nearest(x[a : a + ENCODED, m * p.width : (m + 1) * p.width], book)]
+            each = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, len(books), dtype=np.int32), codes.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), each], ["doc_id", "codes"])
 
     return run
 
@@ -175,13 +215,10 @@ def _encoder(width: int):
 def encode(corpus: DataFrame, codebook: DataFrame, p: PqParams) -> DataFrame:
     """(doc_id, codes): nearest centroid of each subspace, the least code on ties or where there is no distance.
 
-    Ids are whole numbers. Vectors travel packed beside the codebook, and distances are those of `functions.vectors`.
+    Ids are whole numbers. The codebook is read at once; rows are encoded where they are, and distances are those of `functions.vectors`.
     """
-    v = vectors.doubles(F.col("vector"))
-    whole = F.coalesce((F.size(v) == p.dim) & ~F.exists(v, F.isnull), F.lit(False))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(p.dim - 1)), lambda i: F.coalesce(F.get(v, i), F.lit(float("nan"))))
-    packs = scan.dealt(scan.packed(corpus.select("doc_id", F.when(whole, v).otherwise(filled).alias("vector")), None, "doc_id", "vector"))
-    return packs.crossJoin(F.broadcast(_packed(codebook))).mapInArrow(_encoder(p.width), "doc_id long, codes array<int>")
+    rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "vector")
+    return rows.mapInArrow(_encoder(*_books(codebook), p), "doc_id long, codes array<int>")
 
 
 def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -197,10 +234,10 @@ def distance_table(queries: DataFrame, codebook: DataFrame, p: PqParams) -> Data
 
 
 def search(codes: DataFrame, queries: DataFrame, codebook: DataFrame, p: PqParams, k: int) -> DataFrame:
-    """(query_id, doc_id, distance, rank) by asymmetric distance from a lookup table for each query."""
-    out = None
+    """(query_id, doc_id, distance, rank) by asymmetric distance; the codebook is read at once."""
+    out, (books, _) = None, _books(codebook)
     for q in blocks(queries):
-        hits = scan.nearest(codes, q, k, "codes", vector="codes", books=_packed(codebook))
+        hits = scan.nearest(codes, q, k, "codes", vector="codes", books=books)
         near = top_k(hits.drop("part"), "query_id", k, F.col("distance"), F.col("doc_id"))
         out = near if out is None else out.unionByName(near)
     return out

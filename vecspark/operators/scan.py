@@ -23,6 +23,8 @@ PACK = "part long, dim int, ids binary, x binary"
 HITS = "part long, query_id long, doc_id long, distance double"
 #: Bytes of a packed row of the corpus, of what a task gathers before it packs, and of one step's matrices.
 CHUNK_BYTES, HELD_BYTES, STEP_BYTES = 1 << 20, 64 << 20, 16 << 20
+#: Columns whose least stands for them where a k-th least is bounded.
+GROUP = 16
 #: The id that stands for null inside.
 NO_ID = -(1 << 63)
 
@@ -157,35 +159,38 @@ class Exact:
         return d * d * (1 + 1e-15) if self.metric == "l2" else d
 
 
-class Codes:
-    """The asymmetric distance of codes to the queries q by codebooks [m][code, element]."""
+class Codes(Exact):
+    """The asymmetric distance of codes to the queries q by codebooks [m][code, element]: about the l2 of the vectors that the codes stand for."""
 
     def __init__(self, books: list[np.ndarray], q: np.ndarray):
-        self.books, self.q = books, q
+        super().__init__("l2", q[:, : sum(b.shape[1] for b in books)])
+        self.books = books
 
     def chunk(self, x: np.ndarray) -> None:
-        self.x = x.astype(np.int64)
-        self.null = self.odd = np.zeros(len(x), bool)
-        self.q_null = self.q_odd = np.zeros(len(self.q), bool)
-
-    def near(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """The squares, added in order of the subspaces; exact but for the root, whose ties are let through."""
-        s, width = np.zeros((len(self.x), b - a)), self.books[0].shape[1]
-        for m, book in enumerate(self.books):
-            sub, t = self.q[a:b, m * width : (m + 1) * width], np.zeros((len(book), b - a))
-            for i in range(width):
-                d = sub[None, :, i] - book[:, None, i]
-                t += d * d
-            t = np.sqrt(t)
-            s += (t * t)[self.x[:, m]]
-        self.start, self.found = a, np.ascontiguousarray(s.T)
-        return self.found, 1e-15 * np.ones(b - a)
+        x = x.astype(np.int64)
+        super().chunk(np.concatenate([b[x[:, m]] for m, b in enumerate(self.books)], 1))
 
     def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.sqrt(self.found[i - self.start, j])
+        """The root of the squared distances in the subspaces, added in their order."""
+        out = np.empty(len(i))
+        m = len(self.books)
+        step = max(1, STEP_BYTES // (8 * self.q.shape[1]))
+        for a in range(0, len(i), step):
+            d = self.q[i[a : a + step]] - self.x[j[a : a + step]]
+            t = np.sqrt(_sum((d * d).reshape(len(d) * m, -1))).reshape(-1, m)
+            out[a : a + step] = np.sqrt(_sum(t * t))
+        return out
 
-    def bound(self, d: np.ndarray) -> np.ndarray:
-        return d * d * (1 + 1e-15)
+
+def _kth(near: np.ndarray, k: int) -> np.ndarray:
+    """What the k-th least of each row is at most: the k-th least of the least of GROUP columns each, infinite where there is none."""
+    groups = near.shape[1] // GROUP
+    if groups >= k:
+        near = near[:, : groups * GROUP].reshape(len(near), GROUP, groups).min(1)
+    if near.shape[1] < k:
+        return np.full(len(near), np.inf)
+    most = np.partition(near, k - 1, axis=1)[:, k - 1]
+    return np.where(np.isnan(most), np.inf, most)
 
 
 class Nearest:
@@ -209,7 +214,7 @@ class Nearest:
 
     def settle(self) -> None:
         i, j, d, null = (np.concatenate(x) for x in zip(*self.kept, strict=True))
-        order = np.lexsort((j, d, ~null, i))
+        order = np.lexsort((j, d, ~null, i) if null.any() else (j, d, i))
         i = i[order]
         start = np.searchsorted(i, i)
         first = order[np.arange(len(i)) - start < self.k]
@@ -237,17 +242,22 @@ class Nearest:
             if s.q_null.any():
                 self.nulls(ids[~s.null], np.flatnonzero(s.q_null))
             step, k = max(1, (STEP_BYTES >> 4) // (8 * len(ids))), self.k + self.other
+            apart, some = s.null | s.odd, bool(s.null.any() or s.odd.any())
             for a in range(0, len(self.ids), step):
                 b = min(len(self.ids), a + step)
                 near, wrong = s.near(a, b)
-                near[:, s.null | s.odd] = np.inf
-                most = np.partition(near, k - 1, axis=1)[:, k - 1] if k <= len(ids) else np.full(b - a, np.inf)
-                most = np.where(np.isnan(most), np.inf, most)
-                most = np.minimum(most, s.bound(self.last[a:b])) + 2 * wrong + 4e-15 * np.abs(most, where=np.isfinite(most), out=np.zeros(b - a))
-                take = ~(near > most[:, None])
-                take |= s.odd | s.q_odd[a:b, None]
-                take &= ~s.null & ~s.q_null[a:b, None]
-                i, j = np.nonzero(take)
+                if some:
+                    near[:, apart] = np.inf
+                most = s.bound(self.last[a:b])
+                if not np.isfinite(most).all():
+                    most = np.minimum(most, _kth(near, k))
+                most = most + 2 * wrong + 4e-15 * np.abs(most, where=np.isfinite(most), out=np.zeros(b - a))
+                take = near > most[:, None]
+                np.logical_not(take, out=take)
+                if some or s.q_null[a:b].any() or s.q_odd[a:b].any():
+                    take |= s.odd | s.q_odd[a:b, None]
+                    take &= ~s.null & ~s.q_null[a:b, None]
+                i, j = np.divmod(np.flatnonzero(take), len(ids))
                 self.put(i + a, ids[j], s.distance(i + a, j), np.zeros(len(i), bool))
         self.settle()
 
@@ -265,7 +275,7 @@ def _hits(part, q, j, d, null) -> pa.RecordBatch:
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of each joined row: part, the rows' length, ids and vectors, and the same of the queries, and the books."""
+    """Of each joined row: part, the rows' length, ids and vectors, and the same of the queries."""
     ints = lambda b: np.frombuffer(b, np.int64)
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -273,7 +283,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             get = lambda n: col[n][r].as_buffer() if pa.types.is_binary(col[n].type) else col[n][r].as_py()  # noqa: E731, B023
             ids, q_ids = ints(get("ids")), ints(get("q_ids"))
             x, q = np.frombuffer(get("x")), np.frombuffer(get("q_x"))
-            yield get("part"), get("dim"), ids, x.reshape(len(ids), -1) if get("dim") >= 0 else None, get("q_dim"), q_ids, q.reshape(len(q_ids), -1) if get("q_dim") >= 0 else None, get("books") if "books" in col else None
+            yield get("part"), get("dim"), ids, x.reshape(len(ids), -1) if get("dim") >= 0 else None, get("q_dim"), q_ids, q.reshape(len(q_ids), -1) if get("q_dim") >= 0 else None
 
 
 class Bounds:
@@ -312,16 +322,15 @@ def _merged(found: list[Nearest], k: int) -> Iterator[pa.RecordBatch]:
         yield _hits(0, q[a : a + 100_000], j[at], d[at], null[at])
 
 
-def _searcher(metric: str, k: int, other: bool, merged: bool):
+def _searcher(metric: str, k: int, other: bool, merged: bool, books: list[np.ndarray] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int, bytes], Nearest] = {}
         bounds = Bounds()
-        for part, dim, ids, x, q_dim, q_ids, q, books in _packs(batches):
+        for part, dim, ids, x, q_dim, q_ids, q in _packs(batches):
             key = part, q_dim, q_ids[:1].tobytes()
             if key not in found:
                 q = None if q is None else q.copy()
-                b = [np.array([c["centroid"] for c in book], np.float64) for book in books] if books is not None else None
-                scorer = None if q is None else Codes(b, q) if metric == "codes" else Exact(metric, q)
+                scorer = None if q is None else Codes(books, q) if metric == "codes" else Exact(metric, q)
                 found[key] = Nearest(part, q_ids.copy(), scorer, k, other)
                 bounds.add(q_ids)
             n = found[key]
@@ -358,28 +367,27 @@ def dealt(packs: DataFrame) -> DataFrame:
     return packs.repartition(max(2 * s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _met(rows: DataFrame, queries: DataFrame, by_part: bool, books: DataFrame | None) -> DataFrame:
+def _met(rows: DataFrame, queries: DataFrame, by_part: bool) -> DataFrame:
     """Packed rows, dealt out over all cores, beside packed queries."""
     rows = dealt(rows)
     asked = queries.select(F.col("part").alias("q_part"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    if books is not None:
-        asked = asked.crossJoin(F.broadcast(books.select(F.col("_books").alias("books"))))
     asked = F.broadcast(asked)
     met = rows.join(asked, F.col("part") == F.col("q_part")) if by_part else rows.crossJoin(asked)
     return met.drop("q_part")
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str, part: str | None = None, query_part: str | None = None, other: bool = False, vector: str = "vector", books: DataFrame | None = None, merged: bool = False) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str, part: str | None = None, query_part: str | None = None, other: bool = False, vector: str = "vector", books: list[np.ndarray] | None = None, merged: bool = False) -> DataFrame:
     """HITS: for each task and part at least the k nearest of each query; the caller ranks them.
 
     merged: k for each task and query, whatever the parts, which HITS then has as 0.
     part: a column of the corpus; with it every query is asked of every part, or, with
     query_part too, of the part it names. Ids are whole numbers. `other` leaves out the row of the query's own id.
-    queries: few enough to be broadcast.
+    queries: few enough to be broadcast. books: of codes, whose packs are as large as those of the vectors that they stand for.
     """
+    most = CHUNK_BYTES // books[0].shape[1] if books else CHUNK_BYTES
     asked = packed(queries.repartition(1), query_part, "query_id", "query_vector", None)
-    met = _met(packed(corpus, part, "doc_id", vector), asked, query_part is not None, books)
-    return met.mapInArrow(_searcher(metric, k, other, merged), HITS)
+    met = _met(packed(corpus, part, "doc_id", vector, most), asked, query_part is not None)
+    return met.mapInArrow(_searcher(metric, k, other, merged, books), HITS)
 
 
 def _all(digits: int):
@@ -387,7 +395,7 @@ def _all(digits: int):
     unit = 10.0**digits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, dim, ids, x, q_dim, q_ids, q, _ in _packs(batches):
+        for _, dim, ids, x, q_dim, q_ids, q in _packs(batches):
             same = x is not None and q is not None and dim == q_dim
             s = Exact("l2", q) if same else None
             with np.errstate(all="ignore"):
@@ -417,5 +425,5 @@ def _all(digits: int):
 
 def similarities(corpus: DataFrame, queries: DataFrame, digits: int) -> DataFrame:
     """(query_id, doc_id, score) of all pairs, score 1 / (1 + l2) to so many places."""
-    met = _met(packed(corpus, None, "doc_id", "vector"), packed(queries.repartition(1), None, "query_id", "query_vector", None), False, None)
+    met = _met(packed(corpus, None, "doc_id", "vector"), packed(queries.repartition(1), None, "query_id", "query_vector", None), False)
     return met.mapInArrow(_all(digits), "query_id long, doc_id long, score double")

@@ -44,8 +44,11 @@ class Store:
         file = path(f"{self.base}/versions.json")
         if not fs.exists(file):
             return []
-        lines = self.spark.read.text(f"{self.base}/versions.json", wholetext=True).first()
-        return json.loads(lines.value)
+        stream = fs.open(file)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
 
     def _write_manifest(self, rows: list[dict]) -> None:
         fs, path = self._fs()
@@ -61,7 +64,7 @@ class Store:
         """Write a new version and drop the oldest beyond max_versions."""
         rows = self.manifest()
         seq = max((r["seq"] for r in rows), default=0) + 1
-        created = self.spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]
+        created = self.spark.sql("SELECT date_format(current_timestamp(), 'yyyyMMdd_HHmmss') FROM VALUES (1)").first()[0]
         version = f"v_{created}_{seq:06d}"
         for name, df in tables.items():
             df.write.option("compression", self.compression).parquet(f"{self.base}/{version}/{name}")
